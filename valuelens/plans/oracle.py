@@ -428,7 +428,7 @@ comp AS (
              {Q.money0('adj_low')} || ' – $' || {Q.money0('adj_high')} ||
              '). This may indicate additional adjustments are needed.' END)
            ELSE 'Could not estimate GLA adjustment rate — need at least 2 comps with both sale price and GLA.' END,
-      CASE WHEN brk_ok AND NOT is_bracketed THEN bracketing_message END], x -> x IS NOT NULL) AS warn_list
+      CASE WHEN brk_ok AND NOT is_bracketed THEN bracketing_message END], lambda x: x IS NOT NULL) AS warn_list
   FROM cp11s),
 compf AS (
   SELECT *, concat_ws(' ',
