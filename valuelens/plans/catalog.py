@@ -227,3 +227,42 @@ def q_comp_warnings(spark, sf):
 def q_analyze_comps(spark, sf):
     return C.analyze_comps(_validated(spark, sf))
 FLAGSHIP = "calibrate"
+
+
+# ---------------------------------------------------------------- document comparison
+from ..operators import compare as X  # noqa: E402
+
+
+def _pairs_docs(spark, sf):
+    return X.order_pairs(spark, sf), _validated(spark, sf)
+
+
+@query("compare_fields")
+def q_compare_fields(spark, sf):
+    return X.compare_long(*_pairs_docs(spark, sf)).drop("presence")
+
+
+@query("compare_presence")
+def q_compare_presence(spark, sf):
+    return X.compare_long(*_pairs_docs(spark, sf)).select("pair_id", "ord", "field_name", "presence")
+
+
+@query("compare_numeric_diff")
+def q_compare_numeric_diff(spark, sf):
+    return (X.compare_long(*_pairs_docs(spark, sf)).filter(F.col("difference_note").isNotNull())
+            .select("pair_id", "field_name", "difference_note"))
+
+
+@query("compare_summary")
+def q_compare_summary(spark, sf):
+    return X.compare_summary(*_pairs_docs(spark, sf))
+
+
+@query("compare_discrepancies")
+def q_compare_discrepancies(spark, sf):
+    return X.compare_discrepancies(*_pairs_docs(spark, sf))
+
+
+@query("compare_digest")
+def q_compare_digest(spark, sf):
+    return X.compare_digest(*_pairs_docs(spark, sf))

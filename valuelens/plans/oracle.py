@@ -483,3 +483,75 @@ ORACLE["gla_adjustments"] = COMP_ALL + "\n" + " UNION ALL ".join(
 ORACLE["comp_warnings"] = COMP_ALL + (
     "\nSELECT doc_id, CAST(w.i - 1 AS INTEGER) AS warning_ord, warn_list[w.i] AS warning "
     "FROM compf, LATERAL (SELECT unnest(range(1, len(warn_list) + 1)) AS i) w")
+
+# ------------------------------------------------------------------ document comparison
+PAIRS_CTE = """pairs AS (
+  SELECT pair_id, doc1, doc2 FROM (
+    SELECT o_orderkey AS pair_id, o_orderkey AS doc2,
+           lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS doc1
+    FROM orders) WHERE doc1 IS NOT NULL)"""
+
+
+def _cmp_cols() -> str:
+    out = []
+    for f in APPRAISAL_FIELDS:
+        v1, v2, c1, c2 = f"a.{f}", f"b.{f}", f"a.{f}__c", f"b.{f}__c"
+        eq = (f"(CASE WHEN {c1} = 'missing' AND {c2} = 'missing' THEN TRUE "
+              f"WHEN ({c1} <> 'missing' AND {c2} = 'missing') OR ({c1} = 'missing' AND {c2} <> 'missing') THEN FALSE "
+              f"ELSE {Q.norm(v1)} = {Q.norm(v2)} END)")
+        pres = (f"(CASE WHEN {c1} = 'missing' AND {c2} = 'missing' THEN 'both_missing' "
+                f"WHEN {c1} <> 'missing' AND {c2} = 'missing' THEN 'only_in_doc1' "
+                f"WHEN {c1} = 'missing' AND {c2} <> 'missing' THEN 'only_in_doc2' ELSE 'both_present' END)")
+        if f in ("appraised_value", "gross_living_area_sqft", "year_built", "number_of_bedrooms",
+                 "number_of_bathrooms", "prior_sale_price", "comp_1_sale_price", "comp_2_sale_price",
+                 "comp_3_sale_price"):
+            n1, n2 = Q.pcmp(v1), Q.pcmp(v2)
+            note = (f"(CASE WHEN NOT {eq} AND {v1} IS NOT NULL AND {v1} <> '' AND {v2} IS NOT NULL AND {v2} <> '' "
+                    f"AND {n1} IS NOT NULL AND {n2} IS NOT NULL THEN 'Difference: ' || {Q.money2(f'abs({n1} - {n2})')} END)")
+        else:
+            note = "CAST(NULL AS VARCHAR)"
+        out.append(f"{v1} AS d1v_{f}, {v2} AS d2v_{f}, {c1} AS d1c_{f}, {c2} AS d2c_{f}, {eq} AS eq_{f}, "
+                   f"{pres} AS pr_{f}, {note} AS note_{f}")
+    return ",\n    ".join(out)
+
+
+CMP_CTE = f"""cmp AS (
+  SELECT p.pair_id, p.doc1, p.doc2, a.file_name AS doc1_name, b.file_name AS doc2_name,
+    {_cmp_cols()}
+  FROM pairs p JOIN val a ON a.doc_id = p.doc1 JOIN val b ON b.doc_id = p.doc2)"""
+CMP_ALL = W(APPR_CTE, VAL_CTE, PAIRS_CTE, CMP_CTE)
+_CMP_LONG = ("SELECT pair_id, doc1, doc2, s.ord AS ord, s.field_name AS field_name, s.doc1_value AS doc1_value, "
+             "s.doc2_value AS doc2_value, s.doc1_confidence AS doc1_confidence, s.doc2_confidence AS doc2_confidence, "
+             "s.are_equal AS are_equal, s.presence AS presence, s.difference_note AS difference_note FROM ("
+             "SELECT pair_id, doc1, doc2, unnest([" + ", ".join(
+                 f"{{'ord': {i}, 'field_name': '{f}', 'doc1_value': d1v_{f}, 'doc2_value': d2v_{f}, "
+                 f"'doc1_confidence': d1c_{f}, 'doc2_confidence': d2c_{f}, 'are_equal': eq_{f}, "
+                 f"'presence': pr_{f}, 'difference_note': note_{f}}}" for i, f in enumerate(APPRAISAL_FIELDS))
+             + "]) AS s FROM cmp)")
+ORACLE["compare_fields"] = CMP_ALL + ("\nSELECT pair_id, doc1, doc2, ord, field_name, doc1_value, doc2_value, "
+                                      "doc1_confidence, doc2_confidence, are_equal, difference_note FROM (" +
+                                      _CMP_LONG + ")")
+ORACLE["compare_presence"] = CMP_ALL + f"\nSELECT pair_id, ord, field_name, presence FROM ({_CMP_LONG})"
+ORACLE["compare_numeric_diff"] = CMP_ALL + (f"\nSELECT pair_id, field_name, difference_note FROM ({_CMP_LONG}) "
+                                            "WHERE difference_note IS NOT NULL")
+ORACLE["compare_discrepancies"] = CMP_ALL + (
+    f"\nSELECT pair_id, ord, field_name, coalesce(nullif(doc1_value, ''), '—') AS doc1_shown, "
+    f"coalesce(nullif(doc2_value, ''), '—') AS doc2_shown, coalesce(difference_note, '') AS difference_note "
+    f"FROM ({_CMP_LONG}) WHERE NOT are_equal")
+_agree = " + ".join(f"(CASE WHEN eq_{f} THEN 1 ELSE 0 END)" for f in APPRAISAL_FIELDS)
+ORACLE["compare_summary"] = CMP_ALL + (
+    f"\nSELECT pair_id, doc1, doc2, doc1_name, doc2_name, CAST(37 AS BIGINT) AS total_fields_compared, "
+    f"CAST({_agree} AS BIGINT) AS fields_in_agreement, "
+    f"CAST({' + '.join(f'(CASE WHEN NOT eq_{f} THEN 1 ELSE 0 END)' for f in APPRAISAL_FIELDS)} AS BIGINT) "
+    f"AS fields_with_discrepancy, "
+    f"CAST({' + '.join(f'(CASE WHEN pr_{f} = {chr(39)}only_in_doc1{chr(39)} THEN 1 ELSE 0 END)' for f in APPRAISAL_FIELDS)} AS BIGINT) "
+    f"AS fields_only_in_doc1, "
+    f"CAST({' + '.join(f'(CASE WHEN pr_{f} = {chr(39)}only_in_doc2{chr(39)} THEN 1 ELSE 0 END)' for f in APPRAISAL_FIELDS)} AS BIGINT) "
+    f"AS fields_only_in_doc2, {Q.rnd(f'({_agree}) / 37.0::DOUBLE', 4)} AS agreement_rate FROM cmp")
+_lines = ", ".join(
+    f"CASE WHEN NOT eq_{f} THEN '  - {f}: ''' || coalesce(d1v_{f}, 'None') || ''' vs ''' || "
+    f"coalesce(d2v_{f}, 'None') || '''' || coalesce(' (' || note_{f} || ')', '') END" for f in APPRAISAL_FIELDS)
+ORACLE["compare_digest"] = CMP_ALL + (
+    f"\nSELECT pair_id, CASE WHEN len(kept) = 0 THEN "
+    f"'The two documents are in full agreement on all extracted fields.' ELSE array_to_string(kept, chr(10)) END "
+    f"AS digest FROM (SELECT pair_id, list_filter([{_lines}], lambda x: x IS NOT NULL)[1:15] AS kept FROM cmp)")
