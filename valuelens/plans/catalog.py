@@ -266,3 +266,71 @@ def q_compare_discrepancies(spark, sf):
 @query("compare_digest")
 def q_compare_digest(spark, sf):
     return X.compare_digest(*_pairs_docs(spark, sf))
+
+
+# ---------------------------------------------------------------- document assembly
+from ..operators import assemble as D  # noqa: E402
+from ..sources import pages as PG  # noqa: E402
+
+
+@query("scan_pages")
+def q_scan_pages(spark, sf):
+    return PG.conversation_pages(spark, sf).select("doc_id", "file_name", "strategy", "page_number", "raw_text")
+
+
+@query("page_char_count")
+def q_page_char_count(spark, sf):
+    return D.page_char_count(PG.conversation_pages(spark, sf))
+
+
+@query("assemble_documents")
+def q_assemble_documents(spark, sf):
+    return D.assemble_documents(PG.conversation_pages(spark, sf)).drop("priority")
+
+
+@query("normalise_tables")
+def q_normalise_tables(spark, sf):
+    return D.normalise_tables(PG.conversation_pages(spark, sf))
+
+
+def _choice(policy, preferred=None):
+    return lambda spark, sf: D.choose_strategy(PG.strategy_candidates(spark, sf), policy, preferred).drop("full_text")
+
+
+REGISTRY["choose_strategy"] = _choice("strict")
+REGISTRY["choose_strategy_fallback"] = _choice("fallback")
+REGISTRY["choose_strategy_preferred"] = _choice("strict", "pymupdf")
+
+
+@query("truncate_text")
+def q_truncate_text(spark, sf):
+    d = PG.strategy_candidates(spark, sf).filter(F.col("priority") == 0).filter(F.col("error").isNull())
+    t = D.truncate_text(F.col("full_text"))
+    return d.select("doc_id", t.alias("text"), F.length(t).alias("n_chars"))
+
+
+@query("build_appraisal_request")
+def q_build_appraisal_request(spark, sf):
+    d = PG.strategy_candidates(spark, sf).filter(F.col("priority") == 0).filter(F.col("error").isNull())
+    return d.select("doc_id", D.appraisal_request(F.col("full_text")).alias("request"))
+
+
+@query("build_loan_request")
+def q_build_loan_request(spark, sf):
+    d = PG.strategy_candidates(spark, sf).filter(F.col("priority") == 0).filter(F.col("error").isNull())
+    return d.select("doc_id", D.loan_request(F.col("full_text")).alias("request"))
+
+
+@query("document_name")
+def q_document_name(spark, sf):
+    d = PG.named_documents(spark, sf)
+    return d.select("doc_id", D.document_name(F.col("file_name"), F.col("path")).alias("name"))
+
+
+@query("reject_non_pdf")
+def q_reject_non_pdf(spark, sf):
+    u = PG.uploads(spark, sf)
+    ok = D.is_pdf_name(F.col("file_name"))
+    return u.select("doc_id", "file_name", ok.alias("accepted"),
+                    F.when(~ok, F.concat(F.lit("File '"), F.col("file_name"),
+                                         F.lit("' is not a PDF. Only .pdf files are accepted."))).alias("error"))

@@ -555,3 +555,112 @@ ORACLE["compare_digest"] = CMP_ALL + (
     f"\nSELECT pair_id, CASE WHEN len(kept) = 0 THEN "
     f"'The two documents are in full agreement on all extracted fields.' ELSE array_to_string(kept, chr(10)) END "
     f"AS digest FROM (SELECT pair_id, list_filter([{_lines}], lambda x: x IS NOT NULL)[1:15] AS kept FROM cmp)")
+
+# ------------------------------------------------------------------ document assembly
+PAGES_CTE = """pg AS (
+  SELECT conv_id AS doc_id, 'conv_' || CAST(conv_id AS VARCHAR) || '.pdf' AS file_name, 'pdfplumber' AS strategy,
+         CAST(turn + 1 AS INTEGER) AS page_number, coalesce(text, '') AS raw_text,
+         CASE WHEN turn % 3 = 0 THEN [[[role, CASE WHEN turn % 2 = 0 THEN NULL
+                                               ELSE CAST(length(text) AS VARCHAR) END]]] END AS tables
+  FROM conversations)"""
+ORACLE["scan_pages"] = W(PAGES_CTE) + "\nSELECT doc_id, file_name, strategy, page_number, raw_text FROM pg"
+ORACLE["page_char_count"] = W(PAGES_CTE) + "\nSELECT doc_id, page_number, length(raw_text) AS char_count FROM pg"
+ORACLE["assemble_documents"] = W(PAGES_CTE) + (
+    "\nSELECT doc_id, file_name, strategy, string_agg(raw_text, chr(10) || chr(10) || '--- PAGE BREAK ---' || "
+    "chr(10) || chr(10) ORDER BY page_number) AS full_text, CAST(sum(length(raw_text)) AS BIGINT) AS total_chars, "
+    "count(*) AS page_count FROM pg GROUP BY doc_id, file_name, strategy")
+ORACLE["normalise_tables"] = W(PAGES_CTE, """t1 AS (
+  SELECT doc_id, page_number, tables, unnest(range(len(tables))) AS ti FROM pg WHERE tables IS NOT NULL)""",
+                               """t2 AS (
+  SELECT doc_id, page_number, ti, tables[ti + 1] AS tb, unnest(range(len(tables[ti + 1]))) AS ri FROM t1)""",
+                               """t3 AS (
+  SELECT doc_id, page_number, ti, ri, tb[ri + 1] AS rw, unnest(range(len(tb[ri + 1]))) AS ci FROM t2)""") + (
+    "\nSELECT doc_id, page_number, CAST(ti AS INTEGER) AS table_idx, CAST(ri AS INTEGER) AS row_idx, "
+    "CAST(ci AS INTEGER) AS col_idx, coalesce(rw[ci + 1], '') AS cell FROM t3")
+
+CAND_CTE = """cand0 AS (
+  SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS file_name, 'pdfplumber' AS strategy, 0 AS priority,
+         text AS t, CASE WHEN doc_id % 13 = 0 THEN 'pdfplumber: unreadable content stream' END AS error
+  FROM documents
+  UNION ALL
+  SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf', 'pymupdf', 1, trim(text),
+         CASE WHEN doc_id % 17 = 0 THEN 'pymupdf: cannot open document' END
+  FROM documents),
+cand AS (
+  SELECT doc_id, file_name, strategy, priority, CASE WHEN error IS NULL THEN t END AS full_text,
+         CASE WHEN error IS NULL THEN length(t) END AS total_chars, CASE WHEN error IS NULL THEN 1 END AS page_count,
+         error
+  FROM cand0)"""
+
+
+def _choice_sql(policy: str, preferred: str | None = None) -> str:
+    p = f"(CASE WHEN strategy = '{preferred}' THEN -1 ELSE priority END)" if preferred else "priority"
+    label = "'ExtractionStrategy.' || upper(strategy)"
+    short_msg = f"{label} || ' returned only ' || CAST(total_chars AS VARCHAR) || ' chars — trying next strategy'"
+    agg = f"""ch AS (
+  SELECT doc_id, any_value(file_name) AS file_name, max(p) AS last_p,
+    arg_min(p, p) FILTER (WHERE error IS NULL) AS ok_p,
+    arg_min(strategy, p) FILTER (WHERE error IS NULL) AS ok_s,
+    arg_min(total_chars, p) FILTER (WHERE error IS NULL) AS ok_n,
+    arg_min(page_count, p) FILTER (WHERE error IS NULL) AS ok_pc,
+    arg_min(strategy, p) FILTER (WHERE error IS NULL AND total_chars >= 50) AS long_s,
+    arg_min(total_chars, p) FILTER (WHERE error IS NULL AND total_chars >= 50) AS long_n,
+    arg_min(page_count, p) FILTER (WHERE error IS NULL AND total_chars >= 50) AS long_pc,
+    arg_max(error, p) FILTER (WHERE error IS NOT NULL) AS last_err,
+    arg_max(CASE WHEN error IS NOT NULL THEN error ELSE {short_msg} END, p)
+      FILTER (WHERE error IS NOT NULL OR total_chars < 50) AS last_fail
+  FROM (SELECT *, {p} AS p FROM cand) GROUP BY doc_id)"""
+    if policy == "strict":
+        sel = f"""SELECT doc_id, file_name,
+  CASE WHEN ok_p IS NOT NULL AND NOT (ok_p <> last_p AND ok_n < 50) THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN ok_p IS NOT NULL AND NOT (ok_p <> last_p AND ok_n < 50) THEN ok_s END AS strategy_used,
+  CASE WHEN ok_p IS NOT NULL AND NOT (ok_p <> last_p AND ok_n < 50) THEN ok_n END AS total_chars,
+  CASE WHEN ok_p IS NOT NULL AND NOT (ok_p <> last_p AND ok_n < 50) THEN ok_pc END AS page_count,
+  CASE WHEN ok_p IS NULL THEN 'All PDF extraction strategies failed. Last error: ' || last_err
+       WHEN ok_p <> last_p AND ok_n < 50 THEN 'ExtractionStrategy.' || upper(ok_s) || ' returned only ' ||
+         CAST(ok_n AS VARCHAR) || ' chars — trying next strategy' END AS error
+FROM ch"""
+    else:
+        take_long = "long_s IS NOT NULL"
+        take_last = "(long_s IS NULL AND ok_p IS NOT NULL AND ok_p = last_p)"
+        sel = f"""SELECT doc_id, file_name,
+  CASE WHEN {take_long} OR {take_last} THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN {take_long} THEN long_s WHEN {take_last} THEN ok_s END AS strategy_used,
+  CASE WHEN {take_long} THEN long_n WHEN {take_last} THEN ok_n END AS total_chars,
+  CASE WHEN {take_long} THEN long_pc WHEN {take_last} THEN ok_pc END AS page_count,
+  CASE WHEN NOT ({take_long} OR {take_last}) THEN 'All PDF extraction strategies failed. Last error: ' || last_fail
+  END AS error
+FROM ch"""
+    return W(CAND_CTE, agg) + "\n" + sel
+
+
+ORACLE["choose_strategy"] = _choice_sql("strict")
+ORACLE["choose_strategy_fallback"] = _choice_sql("fallback")
+ORACLE["choose_strategy_preferred"] = _choice_sql("strict", "pymupdf")
+_first_ok_docs = "SELECT doc_id, full_text FROM cand WHERE priority = 0 AND error IS NULL"
+ORACLE["truncate_text"] = W(CAND_CTE) + (f"\nSELECT doc_id, substring(full_text, 1, 12000) AS text, "
+                                         f"length(substring(full_text, 1, 12000)) AS n_chars FROM ({_first_ok_docs})")
+
+
+def _req_sql(head: str) -> str:
+    return (W(CAND_CTE) + f"\nSELECT doc_id, '{head}' || chr(10) || chr(10) || '--- DOCUMENT START ---' || chr(10) || "
+            f"substring(full_text, 1, 12000) || (CASE WHEN length(full_text) > 12000 THEN chr(10) || chr(10) || "
+            f"'[... document truncated at 12000 chars ...]' ELSE '' END) || chr(10) || '--- DOCUMENT END ---' || "
+            f"chr(10) AS request FROM ({_first_ok_docs})")
+
+
+ORACLE["build_appraisal_request"] = _req_sql("Extract all appraisal fields from the following document text:")
+ORACLE["build_loan_request"] = _req_sql(
+    "Extract all Form 1003 loan application fields from the following document text:")
+ORACLE["document_name"] = """SELECT doc_id, coalesce(
+  CASE WHEN doc_id % 2 = 0 THEN 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' END,
+  regexp_extract(CASE WHEN doc_id % 3 <> 0 THEN '/data/' || source || '/scan_' || CAST(doc_id AS VARCHAR) || '.pdf'
+                 END, '([^/]+)$', 1),
+  'unknown.pdf') AS name FROM documents"""
+ORACLE["reject_non_pdf"] = """SELECT doc_id, file_name,
+  (file_name IS NOT NULL AND file_name <> '' AND ends_with(lower(file_name), '.pdf')) AS accepted,
+  CASE WHEN NOT (file_name IS NOT NULL AND file_name <> '' AND ends_with(lower(file_name), '.pdf'))
+       THEN 'File ''' || file_name || ''' is not a PDF. Only .pdf files are accepted.' END AS error
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN ''
+             ELSE 'upload_' || CAST(doc_id AS VARCHAR) || (['.pdf', '.PDF', '.txt', '.pdf.zip', ''])[doc_id % 5 + 1]
+             END AS file_name FROM documents)"""
