@@ -334,3 +334,38 @@ def q_reject_non_pdf(spark, sf):
     return u.select("doc_id", "file_name", ok.alias("accepted"),
                     F.when(~ok, F.concat(F.lit("File '"), F.col("file_name"),
                                          F.lit("' is not a PDF. Only .pdf files are accepted."))).alias("error"))
+
+
+# ---------------------------------------------------------------- response decoding
+from ..operators import decode as E  # noqa: E402
+from ..sources import responses as RS  # noqa: E402
+
+
+@query("scan_responses")
+def q_scan_responses(spark, sf):
+    return RS.appraisal_responses(spark, sf)
+
+
+@query("decode_appraisal")
+def q_decode_appraisal(spark, sf):
+    return (R.fields_long(E.decode(RS.appraisal_responses(spark, sf)))
+            .select("doc_id", "ord", "field_name", "value", "confidence", "reasoning"))
+
+
+def _strict_summary(decoded, names):
+    ok = F.col("status") == "ok"
+    cols = []
+    for level, col in zip(("high", "medium", "low", "missing"), R.confidence_counts(names)):
+        cols.append(F.when(ok, col).alias(level))
+    return decoded.select("doc_id", "status", "error", *cols)
+
+
+@query("decode_appraisal_repair")
+def q_decode_appraisal_repair(spark, sf):
+    from ..schema import APPRAISAL_FIELDS
+    return _strict_summary(E.decode_repair(RS.appraisal_responses(spark, sf)), APPRAISAL_FIELDS)
+
+
+@query("decode_loan")
+def q_decode_loan(spark, sf):
+    return _strict_summary(E.decode_repair(RS.loan_responses(spark, sf), LOAN_FIELDS), LOAN_FIELDS)

@@ -664,3 +664,93 @@ ORACLE["reject_non_pdf"] = """SELECT doc_id, file_name,
 FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN ''
              ELSE 'upload_' || CAST(doc_id AS VARCHAR) || (['.pdf', '.PDF', '.txt', '.pdf.zip', ''])[doc_id % 5 + 1]
              END AS file_name FROM documents)"""
+
+# ------------------------------------------------------------------ response decoding
+
+
+def _q(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN 'null' ELSE '\"' || {x} || '\"' END)"
+
+
+def _fjson(f: str, reasoning: str = "''") -> str:
+    return (f"'{{\"value\":' || {_q(f)} || ',\"confidence\":' || {_q(f + '__c')} || ',\"reasoning\":' || "
+            f"{_q(reasoning)} || ',\"source_snippet\":null}}'")
+
+
+def _render_sql(src: str, names: list[str], variants: dict[int, dict[str, str | None]]) -> str:
+    parts = []
+    for n in names:
+        entry = f"'\"{n}\":' || {_fjson(n)}"
+        for code, repl in variants.items():
+            if n in repl:
+                r = repl[n]
+                r_sql = "CAST(NULL AS VARCHAR)" if r is None else "'" + r.replace("'", "''") + "'"
+                entry = f"CASE WHEN doc_id % 50 = {code} THEN {r_sql} ELSE {entry} END"
+        parts.append(entry)
+    b = "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
+    return f"""SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'Sorry, I cannot extract fields from this document.'
+  WHEN doc_id % 50 = 8 THEN '{{}}'
+  WHEN doc_id % 50 = 9 THEN substring(b, 1, length(b) - 1) || ',"extra_notes":{{"value":"x"}}}}'
+  WHEN doc_id % 50 = 12 THEN '[1,2]' ELSE b END AS json
+FROM (SELECT doc_id, {b} AS b FROM {src})"""
+
+
+RESP_CTE = "resp AS (" + _render_sql("appr", APPRAISAL_FIELDS, {
+    1: {"city": '"city":"Springfield"'},
+    2: {"state": '"state":null'},
+    3: {"county": '"county":["Sangamon"]'},
+    4: {"year_built": '"year_built":{"value":1987,"confidence":"high","reasoning":"","source_snippet":null}'},
+    5: {"condition_rating": '"condition_rating":{"value":"C3","confidence":"certain","reasoning":""}'},
+    6: {"appraiser_name": '"appraiser_name":{"value":"Jane Smith","confidence":"high","reasoning":null}'},
+    10: {"property_address": None},
+    11: {"lot_size": '"lot_size":{"value":"0.28 acres","confidence":"high","reasoning":"","page":1}'},
+}) + ")"
+LRESP_CTE = "lresp AS (" + _render_sql("loan", LOAN_FIELDS, {
+    1: {"loan_purpose": '"loan_purpose":"Purchase"'},
+    3: {"borrower_dob": '"borrower_dob":[]'},
+    4: {"credit_score": '"credit_score":{"value":742,"confidence":"high","reasoning":""}'},
+    5: {"loan_type": '"loan_type":{"value":"FHA","confidence":"sure","reasoning":""}'},
+    10: {"lender_name": None},
+}) + ")"
+ORACLE["scan_responses"] = W(APPR_CTE, RESP_CTE) + "\nSELECT doc_id, json FROM resp"
+
+
+def _jx(member: str, f: str) -> str:
+    return f"(CASE WHEN json_valid(json) THEN json_extract_string(json, '$.{f}.{member}') END)"
+
+
+ORACLE["decode_appraisal"] = W(APPR_CTE, RESP_CTE) + "\n" + Q.unnest_fields(
+    APPRAISAL_FIELDS, "resp", {"value": _jx("value", "{f}"),
+                               "confidence": f"coalesce({_jx('confidence', '{f}')}, 'missing')",
+                               "reasoning": f"coalesce({_jx('reasoning', '{f}')}, '')"})
+
+
+def _strict_sql(resp: str, names: list[str]) -> str:
+    def jt(path):
+        return f"(CASE WHEN json_valid(json) THEN json_type(json, '{path}') END)"
+
+    cols, kept = [], {}
+    for n in names:
+        k = f"coalesce({jt(f'$.{n}')} = 'OBJECT', false)"
+        tv, tc, tr, ts = (jt(f"$.{n}.{m}") for m in ("value", "confidence", "reasoning", "source_snippet"))
+        conf = f"(CASE WHEN json_valid(json) THEN json_extract_string(json, '$.{n}.confidence') END)"
+        ok = (f"(({tv} IS NULL OR {tv} IN ('NULL', 'VARCHAR')) AND ({tc} IS NULL OR ({tc} = 'VARCHAR' AND {conf} IN "
+              f"('high', 'medium', 'low', 'missing'))) AND ({tr} IS NULL OR {tr} = 'VARCHAR') AND "
+              f"({ts} IS NULL OR {ts} IN ('NULL', 'VARCHAR')))")
+        cols.append(f"{k} AS k_{n}, ({k} AND NOT {ok}) AS bad_{n}, "
+                    f"CASE WHEN {k} THEN coalesce({conf}, 'missing') "
+                    f"ELSE 'missing' END AS c_{n}")
+        kept[n] = k
+    first_bad = "coalesce(" + ", ".join(f"CASE WHEN bad_{n} THEN '{n}' END" for n in names) + ")"
+    err = (f"CASE WHEN NOT json_valid(json) THEN 'Unexpected error: response is not valid JSON' "
+           f"WHEN {jt('$')} <> 'OBJECT' THEN 'Unexpected error: response is not a JSON object' "
+           f"WHEN {first_bad} IS NOT NULL THEN 'Unexpected error: invalid field ' || {first_bad} END")
+    counts = ", ".join(
+        f"CASE WHEN err IS NULL THEN CAST(" + " + ".join(f"(CASE WHEN c_{n} = '{lv}' THEN 1 ELSE 0 END)" for n in names)
+        + f" AS BIGINT) END AS {lv}" for lv in ("high", "medium", "low", "missing"))
+    return (f"SELECT doc_id, CASE WHEN err IS NULL THEN 'ok' ELSE 'error' END AS status, err AS error, {counts} "
+            f"FROM (SELECT *, {err} AS err FROM (SELECT doc_id, json, {', '.join(cols)} FROM {resp}))")
+
+
+ORACLE["decode_appraisal_repair"] = W(APPR_CTE, RESP_CTE) + "\n" + _strict_sql("resp", APPRAISAL_FIELDS)
+ORACLE["decode_loan"] = W(LOAN_CTE, LRESP_CTE) + "\n" + _strict_sql("lresp", LOAN_FIELDS)
