@@ -129,3 +129,15 @@ def py_float_str(x) -> Column:
 def percent0(x) -> Column:
     """Python '{x:.0%}' (ties to even)."""
     return F.concat(round_even0(_col(x) * 100.0).try_cast("bigint").cast("string"), F.lit("%"))
+
+
+def py_round4_str(x) -> Column:
+    """Python str() of a float already rounded to at most 4 decimals."""
+    s = F.regexp_replace(F.format_string("%.4f", _col(x)), "0+$", "")
+    return F.when(s.endswith("."), F.concat(s, F.lit("0"))).otherwise(s)
+
+
+def py_bool_str(b) -> Column:
+    """Python str() of an optional bool as written by a CSV writer: True / False / ''."""
+    c = _col(b)
+    return F.when(c.isNull(), F.lit("")).when(c, F.lit("True")).otherwise(F.lit("False"))

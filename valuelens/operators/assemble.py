@@ -32,17 +32,18 @@ def page_char_count(pages: DataFrame) -> DataFrame:
 
 
 def assemble_documents(pages: DataFrame) -> DataFrame:
-    """(doc_id, file_name, strategy, priority, full_text, total_chars, page_count).
+    """(doc_id, file_name, strategy, priority, full_text, total_chars, page_count, error).
 
     total_chars is the sum of page lengths: the separators are not counted."""
     text = F.coalesce(F.col("raw_text"), F.lit(""))
     grouped = pages.groupBy("doc_id", "file_name", "strategy", "priority").agg(
         F.sort_array(F.collect_list(F.struct(F.col("page_number"), text.alias("t")))).alias("_pages"),
         F.sum(F.length(text)).alias("total_chars"),
-        F.count(F.lit(1)).alias("page_count"))
+        F.count(F.lit(1)).alias("page_count"),
+        F.max("error").alias("error"))
     full = F.array_join(F.transform("_pages", lambda p: p.getField("t")), PAGE_SEPARATOR)
     return grouped.select("doc_id", "file_name", "strategy", "priority", full.alias("full_text"),
-                          "total_chars", "page_count")
+                          "total_chars", "page_count", "error")
 
 
 def normalise_tables(pages: DataFrame) -> DataFrame:

@@ -226,7 +226,6 @@ def q_comp_warnings(spark, sf):
 @query("analyze_comps")
 def q_analyze_comps(spark, sf):
     return C.analyze_comps(_validated(spark, sf))
-FLAGSHIP = "calibrate"
 
 
 # ---------------------------------------------------------------- document comparison
@@ -285,7 +284,7 @@ def q_page_char_count(spark, sf):
 
 @query("assemble_documents")
 def q_assemble_documents(spark, sf):
-    return D.assemble_documents(PG.conversation_pages(spark, sf)).drop("priority")
+    return D.assemble_documents(PG.conversation_pages(spark, sf)).drop("priority", "error")
 
 
 @query("normalise_tables")
@@ -369,3 +368,84 @@ def q_decode_appraisal_repair(spark, sf):
 @query("decode_loan")
 def q_decode_loan(spark, sf):
     return _strict_summary(E.decode_repair(RS.loan_responses(spark, sf), LOAN_FIELDS), LOAN_FIELDS)
+
+
+# ---------------------------------------------------------------- labelled extraction + batch roll-up
+from ..operators import batch as B  # noqa: E402
+from ..operators import extract as EX  # noqa: E402
+from ..sources import render as RD  # noqa: E402
+
+
+@query("extract_labelled")
+def q_extract_labelled(spark, sf):
+    docs = D.assemble_documents(RD.appraisal_pages(spark, sf))
+    x = EX.extract_labelled(docs.withColumn("text", D.truncate_text(F.col("full_text"))))
+    return R.fields_long(x).select("doc_id", "ord", "field_name", "value", "confidence", "source_snippet")
+
+
+@query("extract_labelled_loan")
+def q_extract_labelled_loan(spark, sf):
+    x = EX.extract_labelled_loan(RD.loan_documents(spark, sf))
+    return R.fields_long(x, LOAN_FIELDS).select("doc_id", "ord", "field_name", "value", "confidence")
+
+
+def _processed(spark, sf):
+    return B.process_pages(RD.appraisal_pages(spark, sf))
+
+
+@query("batch_rows")
+def q_batch_rows(spark, sf):
+    return B.batch_rows(_appr(spark, sf))
+
+
+@query("batch_pipeline")
+def q_batch_pipeline(spark, sf):
+    return B.report_rows(_processed(spark, sf))
+
+
+@query("batch_status")
+def q_batch_status(spark, sf):
+    return B.batch_status(_processed(spark, sf))
+
+
+@query("batch_failures")
+def q_batch_failures(spark, sf):
+    return B.batch_failures(_processed(spark, sf))
+
+
+@query("batch_summary")
+def q_batch_summary(spark, sf):
+    return B.batch_summary(_processed(spark, sf))
+
+
+@query("write_batch_csv")
+def q_write_batch_csv(spark, sf):
+    path = B.output_dir(spark, "batch-csv")
+    B.write_batch_csv(B.report_rows(_processed(spark, sf)), path)
+    return B.read_batch_csv(spark, path)
+
+
+@query("write_reports_json")
+def q_write_reports_json(spark, sf):
+    path = B.output_dir(spark, "reports-json")
+    B.write_reports_json(_processed(spark, sf), path)
+    r = B.read_reports_json(spark, path)
+    return r.select("doc_id", "file_name", "status",
+                    F.col("calibration.reliability_score").alias("reliability_score"),
+                    F.col("calibration.error_count").alias("error_count"),
+                    F.col("comp_analysis.comp_quality_label").alias("comp_quality_label"),
+                    F.col("confidence_summary.high").alias("high"))
+
+
+@query("field_catalogue")
+def q_field_catalogue(spark, sf):
+    return B.field_catalogue(_validated(spark, sf))
+
+
+@query("scan_folder")
+def q_scan_folder(spark, sf):
+    files = B.scan_folder(spark, sf, "*.parquet")
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+
+
+FLAGSHIP = "batch_pipeline"

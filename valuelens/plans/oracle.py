@@ -754,3 +754,144 @@ def _strict_sql(resp: str, names: list[str]) -> str:
 
 ORACLE["decode_appraisal_repair"] = W(APPR_CTE, RESP_CTE) + "\n" + _strict_sql("resp", APPRAISAL_FIELDS)
 ORACLE["decode_loan"] = W(LOAN_CTE, LRESP_CTE) + "\n" + _strict_sql("lresp", LOAN_FIELDS)
+
+# ------------------------------------------------------------------ labelled extraction + batch roll-up
+from ..operators.extract import APPRAISAL_LABELS, loan_label  # noqa: E402
+from ..schema import CSV_FIELDS  # noqa: E402
+
+SRC_APPR_CTE = APPR_CTE.replace("appr AS (", "src_appr AS (")
+_SUBJECT = [f for f in APPRAISAL_FIELDS if not f.startswith("comp_")]
+_COMPF = [f for f in APPRAISAL_FIELDS if f.startswith("comp_")]
+
+
+def _render_page(head: str, names: list[str], labels) -> str:
+    lines = ", ".join(f"CASE WHEN {n} IS NOT NULL THEN '{labels(n)}: ' || {n} END" for n in names)
+    return f"concat_ws(chr(10), '{head}', {lines})"
+
+
+RENDER_CTE = f"""rpages AS (
+  SELECT doc_id, file_name, 1 AS page_number,
+    CASE WHEN doc_id % 97 = 0 THEN NULL ELSE
+      {_render_page('UNIFORM RESIDENTIAL APPRAISAL REPORT', _SUBJECT, APPRAISAL_LABELS.get)} END AS raw_text,
+    CASE WHEN doc_id % 97 = 0 THEN 'pdfplumber: unreadable content stream' END AS error
+  FROM src_appr
+  UNION ALL
+  SELECT doc_id, file_name, 2,
+    CASE WHEN doc_id % 97 = 0 THEN NULL ELSE
+      {_render_page('SALES COMPARISON APPROACH', _COMPF, APPRAISAL_LABELS.get)} END,
+    CASE WHEN doc_id % 97 = 0 THEN 'pdfplumber: unreadable content stream' END
+  FROM src_appr),
+rdocs AS (
+  SELECT doc_id, file_name,
+    string_agg(coalesce(raw_text, ''), chr(10) || chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10)
+               ORDER BY page_number) AS full_text, max(error) AS error
+  FROM rpages GROUP BY doc_id, file_name),
+xdocs AS (
+  SELECT doc_id, file_name, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status,
+    CASE WHEN error IS NOT NULL THEN 'PDF extraction failed: All PDF extraction strategies failed. Last error: '
+      || error END AS error,
+    CASE WHEN error IS NULL THEN substring(full_text, 1, 12000) END AS text
+  FROM rdocs)"""
+
+
+def _pat(label: str) -> str:
+    return f"'(?m)^{label}:[ \\t]*(.*?)[ \\t]*$'"
+
+
+def _line_pat(label: str) -> str:
+    return f"'(?m)^({label}:.*?)[ \\t]*$'"
+
+
+def _xfields(names, labels, text="text", post=None) -> str:
+    out = []
+    for n in names:
+        lb = labels(n)
+        val = f"regexp_extract({text}, {_pat(lb)}, 1)"
+        if post and n in post:
+            val = post[n](val)
+        found = f"regexp_matches({text}, {_pat(lb)})"
+        out.append(f"CASE WHEN {found} THEN {val} END AS {n}, CASE WHEN {found} THEN 'high' ELSE 'missing' END "
+                   f"AS {n}__c, CASE WHEN {found} THEN regexp_extract({text}, {_line_pat(lb)}, 1) END AS {n}__s")
+    return ",\n    ".join(out)
+
+
+XAPPR_CTE = f"""appr AS (
+  SELECT doc_id, file_name, {_xfields(APPRAISAL_FIELDS, APPRAISAL_LABELS.get)}
+  FROM xdocs)"""
+
+ORACLE["extract_labelled"] = W(SRC_APPR_CTE, RENDER_CTE, XAPPR_CTE) + "\n" + Q.unnest_fields(
+    APPRAISAL_FIELDS, "appr", {"value": "{f}", "confidence": "{f}__c", "source_snippet": "{f}__s"}).replace(
+    "FROM appr", "FROM appr")
+
+_SSN = "borrower_ssn_last4"
+_loan_lines = ", ".join(
+    (f"CASE WHEN {n} IS NOT NULL THEN 'Borrower SSN: 900-' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || '-' "
+     f"|| {n} END") if n == _SSN else f"CASE WHEN {n} IS NOT NULL THEN '{loan_label(n)}: ' || {n} END"
+    for n in LOAN_FIELDS)
+LTEXT_CTE = f"""ltext AS (
+  SELECT doc_id, concat_ws(chr(10), 'UNIFORM RESIDENTIAL LOAN APPLICATION', {_loan_lines}) AS text FROM loan),
+lx AS (
+  SELECT doc_id, {_xfields(LOAN_FIELDS, loan_label, post={_SSN: lambda v: f"nullif(regexp_extract({v}, '(\\d{{4}})$', 1), '')"})}
+  FROM ltext)"""
+ORACLE["extract_labelled_loan"] = W(LOAN_CTE, LTEXT_CTE) + "\n" + Q.unnest_fields(
+    LOAN_FIELDS, "lx", {"value": "{f}", "confidence": "{f}__c"})
+
+REP_CTE = """rep AS (
+  SELECT c.*, f.comp_quality_score, f.comp_quality_label, f.in_range, f.is_bracketed
+  FROM cal c JOIN compf f ON c.doc_id = f.doc_id)"""
+
+
+def _row_sql(status_src: str | None) -> str:
+    ok = "(status = 'success')"
+
+    def blank(x):
+        return f"CASE WHEN {ok} THEN {x} ELSE '' END"
+
+    cols = ["file_name", "'0.0' AS processing_time_s", "status", "coalesce(error, '') AS error"]
+    for f in CSV_FIELDS:
+        cols.append(f"{blank(f'coalesce({f}, {chr(39)}{chr(39)})')} AS {f}")
+        cols.append(f"{blank(f + '__c')} AS {f}_confidence")
+    for lv, name in zip(("high", "medium", "low", "missing"), ("high_confidence_count", "medium_confidence_count",
+                                                                "low_confidence_count", "missing_count")):
+        s = " + ".join(f"(CASE WHEN {n}__c = '{lv}' THEN 1 ELSE 0 END)" for n in APPRAISAL_FIELDS)
+        cols.append(f"{blank(f'CAST({s} AS VARCHAR)')} AS {name}")
+    cols += [f"{blank(Q.pyround4('score'))} AS reliability_score",
+             f"{blank('CAST(n_err AS VARCHAR)')} AS calibration_error_count",
+             f"{blank('CAST(n_warn AS VARCHAR)')} AS calibration_warning_count",
+             f"{blank(Q.pyround4('comp_quality_score'))} AS comp_quality_score",
+             f"{blank('comp_quality_label')} AS comp_quality_label",
+             f"{blank(Q.pybool('in_range'))} AS appraised_value_in_comp_range",
+             f"{blank(Q.pybool('is_bracketed'))} AS bracketing_satisfied"]
+    if status_src is None:
+        src = "(SELECT *, 'success' AS status, CAST(NULL AS VARCHAR) AS error FROM rep)"
+    else:
+        src = f"(SELECT rep.*, x.status, x.error FROM rep JOIN {status_src} x ON rep.doc_id = x.doc_id)"
+    return "SELECT doc_id, " + ", ".join(cols) + f" FROM {src}"
+
+
+ORACLE["batch_rows"] = W(APPR_CTE, VAL_CTE, NUM_CTE, CAL_CTE, COMP_CTE, REP_CTE) + "\n" + _row_sql(None)
+_PIPE = W(SRC_APPR_CTE, RENDER_CTE, XAPPR_CTE, VAL_CTE, NUM_CTE, CAL_CTE, COMP_CTE, REP_CTE)
+ORACLE["batch_pipeline"] = _PIPE + "\n" + _row_sql("xdocs")
+ORACLE["write_batch_csv"] = _PIPE + "\nSELECT * EXCLUDE (doc_id) FROM (" + _row_sql("xdocs") + ")"
+_PROC = "(SELECT rep.*, x.status, x.error FROM rep JOIN xdocs x ON rep.doc_id = x.doc_id)"
+ORACLE["batch_status"] = _PIPE + f"\nSELECT doc_id, file_name, status, coalesce(error, '') AS error FROM {_PROC}"
+ORACLE["batch_failures"] = _PIPE + f"\nSELECT doc_id, file_name, error FROM {_PROC} WHERE status = 'error'"
+ORACLE["batch_summary"] = _PIPE + (
+    f"\nSELECT count(*) AS total, count(CASE WHEN status = 'success' THEN 1 END) AS successes, "
+    f"count(CASE WHEN status <> 'success' THEN 1 END) AS failures, coalesce(avg(0.0::DOUBLE), 0.0::DOUBLE) "
+    f"AS avg_processing_time_s, {Q.rnd("avg(CASE WHEN status = 'success' THEN coalesce(score, 0.0::DOUBLE) END)", 6)} "
+    f"AS avg_reliability_score FROM {_PROC}")
+ORACLE["write_reports_json"] = _PIPE + (
+    f"\nSELECT doc_id, file_name, status, score AS reliability_score, n_err AS error_count, comp_quality_label, "
+    f"CAST(" + " + ".join(f"(CASE WHEN {n}__c = 'high' THEN 1 ELSE 0 END)" for n in APPRAISAL_FIELDS)
+    + f" AS BIGINT) AS high FROM {_PROC}")
+
+_desc = ", ".join("'" + d.replace("'", "''") + "'" for _, d in __import__(
+    "valuelens.schema", fromlist=["APPRAISAL_FIELDS_WITH_DESCRIPTIONS"]).APPRAISAL_FIELDS_WITH_DESCRIPTIONS)
+ORACLE["field_catalogue"] = W(APPR_CTE, VAL_CTE) + (
+    f"\nSELECT ord, field_name, ([{_desc}])[ord + 1] AS description, 37 AS total_fields, "
+    f"count(CASE WHEN confidence = 'high' THEN 1 END) AS n_high, "
+    f"count(CASE WHEN confidence = 'medium' THEN 1 END) AS n_medium, "
+    f"count(CASE WHEN confidence = 'low' THEN 1 END) AS n_low, "
+    f"count(CASE WHEN confidence = 'missing' THEN 1 END) AS n_missing FROM ("
+    + Q.unnest_fields(APPRAISAL_FIELDS, "val", {"confidence": "{f}__c"}) + ") GROUP BY ord, field_name")

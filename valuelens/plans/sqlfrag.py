@@ -107,3 +107,12 @@ def unnest_fields(names: list[str], src: str, cols: dict[str, str], keep: str =
     inner = f"SELECT {keep}, unnest({lst}) AS s FROM {src}"
     outs = ", ".join(f"s.{k} AS {k}" for k in ["ord", "field_name", *cols])
     return f"SELECT {keep}, {outs} FROM ({inner})"
+
+
+def pyround4(x: str) -> str:
+    s = f"regexp_replace(format('{{:.4f}}', {x}), '0+$', '')"
+    return f"(CASE WHEN ends_with({s}, '.') THEN {s} || '0' ELSE {s} END)"
+
+
+def pybool(b: str) -> str:
+    return f"(CASE WHEN {b} IS NULL THEN '' WHEN {b} THEN 'True' ELSE 'False' END)"
