@@ -449,3 +449,12 @@ def q_scan_folder(spark, sf):
 
 
 FLAGSHIP = "batch_pipeline"
+
+
+# ---------------------------------------------------------------- streaming intake
+from ..streaming import intake as ST  # noqa: E402
+
+
+@query("incremental_intake")
+def q_incremental_intake(spark, sf):
+    return ST.incremental_intake(spark, RS.appraisal_responses(spark, sf), B.output_dir(spark, "intake"))

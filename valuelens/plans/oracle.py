@@ -895,3 +895,9 @@ ORACLE["field_catalogue"] = W(APPR_CTE, VAL_CTE) + (
     f"count(CASE WHEN confidence = 'low' THEN 1 END) AS n_low, "
     f"count(CASE WHEN confidence = 'missing' THEN 1 END) AS n_missing FROM ("
     + Q.unnest_fields(APPRAISAL_FIELDS, "val", {"confidence": "{f}__c"}) + ") GROUP BY ord, field_name")
+
+# ------------------------------------------------------------------ streaming intake (final table)
+ORACLE["incremental_intake"] = W(APPR_CTE, RESP_CTE) + "\nSELECT doc_id, " + ", ".join(
+    "CAST(" + " + ".join(f"(CASE WHEN coalesce({_jx('confidence', n)}, 'missing') = '{lv}' THEN 1 ELSE 0 END)"
+                         for n in APPRAISAL_FIELDS) + f" AS BIGINT) AS {lv}"
+    for lv in ("high", "medium", "low", "missing")) + " FROM resp"
