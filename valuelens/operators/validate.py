@@ -56,11 +56,15 @@ def loan_rules() -> dict[str, Rule]:
     }
 
 
-def rule_issue(fields_col: str, name: str, rule: Rule, parse=parse_rule_number) -> Column:
-    """Warning text for one field, or null when skipped (null value, missing, not numeric) or clean."""
+def rule_issue(fields_col: str, name: str, rule: Rule, parse=parse_rule_number, number: Column | None = None) -> Column:
+    """Warning text for one field, or null when skipped (null value, missing, not numeric) or clean.
+
+    ``number`` is the already parsed value column when the caller staged it in an earlier
+    projection; subexpression elimination does not share work across CASE branches, so
+    an inline parse would run once per comparison in the rule."""
     f = F.col(fields_col).getField(name)
     value, conf = f.getField("value"), f.getField("confidence")
-    n = parse(value)
+    n = parse(value) if number is None else number
     return F.when(value.isNotNull() & (conf != "missing") & n.isNotNull(), rule(n, value))
 
 
@@ -73,13 +77,18 @@ def validated_field(fields_col: str, name: str, issue: Column) -> Column:
 
 
 def _post_validate(docs: DataFrame, rules: dict[str, Rule], parse, fields_col: str = "fields") -> DataFrame:
-    # Issues are computed once in their own projection so the parse regex runs once per field.
+    # Numbers, then issues, each in their own projection: the parse regexes run once per
+    # field and the issue text once, whatever the number of comparisons that use them.
+    num_cols = {n: f"_num_{n}" for n in rules}
     issue_cols = {n: f"_issue_{n}" for n in rules}
-    staged = docs.withColumns({c: rule_issue(fields_col, n, rules[n], parse) for n, c in issue_cols.items()})
+    staged = docs.withColumns({c: parse(F.col(fields_col).getField(n).getField("value"))
+                               for n, c in num_cols.items()})
+    staged = staged.withColumns({c: rule_issue(fields_col, n, rules[n], parse, F.col(num_cols[n]))
+                                 for n, c in issue_cols.items()})
     rec = F.col(fields_col)
     for n, c in issue_cols.items():
         rec = rec.withField(n, validated_field(fields_col, n, F.col(c)))
-    return staged.withColumn(fields_col, rec).drop(*issue_cols.values())
+    return staged.withColumn(fields_col, rec).drop(*num_cols.values(), *issue_cols.values())
 
 
 def post_validate(docs: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
