@@ -77,8 +77,12 @@ def _sum_in_order(terms: list[Column]) -> Column:
     return total
 
 
-def _flags(as_of_year: int) -> dict[str, Column]:
-    """Severity / message / action columns of the eight flag slots."""
+def _flags(as_of_year: int) -> tuple[dict[str, Column], dict[str, Column]]:
+    """(staged inputs, severity / message / action columns of the eight flag slots).
+
+    Subexpression elimination does not share work across CASE branches, so every
+    condition input used by more than one of severity, message and action is
+    projected first and referenced as a column."""
     av, gla, yb, beds, baths, prior, cond = (F.col(c) for c in
                                              ("_av", "_gla", "_yb", "_beds", "_baths", "_prior", "_cond"))
     cps = [F.col(f"_cp{i}") for i in (1, 2, 3)]
@@ -86,6 +90,7 @@ def _flags(as_of_year: int) -> dict[str, Column]:
     n_present = F.col("_n_present")
     comp = F.col("_completeness")
     out: dict[str, Column] = {}
+    stage: dict[str, Column] = {}  # inputs of the conditions, projected before the flags
 
     # K1 completeness
     out["_f1_sev"] = F.when(comp < 0.5, "error").when(comp < 0.8, "warning")
@@ -100,9 +105,10 @@ def _flags(as_of_year: int) -> dict[str, Column]:
     valid = [c.isNotNull() & (c > 0) for c in cps]
     n_valid = _sum_in_order([F.when(v, 1).otherwise(0) for v in valid])
     total = _sum_in_order([F.when(v, c).otherwise(F.lit(0.0)) for v, c in zip(valid, cps)])
-    mid = F.try_divide(total, n_valid)
-    dev = F.try_divide(F.abs(av - mid), mid)
-    k2 = av.isNotNull() & (n_valid > 0) & (dev > 0.40)
+    stage["_k2_mid"] = F.try_divide(total, n_valid)
+    stage["_k2_dev"] = F.try_divide(F.abs(av - F.col("_k2_mid")), F.col("_k2_mid"))
+    stage["_k2"] = av.isNotNull() & (n_valid > 0) & (F.col("_k2_dev") > 0.40)
+    mid, dev, k2 = F.col("_k2_mid"), F.col("_k2_dev"), F.col("_k2")
     out["_f2_sev"] = F.when(k2, F.when(dev > 0.60, "error").otherwise("warning"))
     out["_f2_msg"] = F.when(k2, _s("Appraised value ($", money0(av), ") deviates ", percent(dev, 1),
                                    " from comparable sales midpoint ($", money0(mid), "). Standard appraisal "
@@ -119,7 +125,9 @@ def _flags(as_of_year: int) -> dict[str, Column]:
         _sum_in_order([F.when(o, (x - mean) * (x - mean)).otherwise(F.lit(0.0)) for o, x in zip(ok, ppsf)]), n_ok)
     std = F.sqrt(var)
     z = F.try_divide(F.abs(subj - mean), std)
-    k3 = truthy(av) & truthy(gla) & (n_ok >= 2) & (std > 0) & (z > 2.0)
+    stage.update({"_k3_subj": subj, "_k3_mean": mean, "_k3_std": std, "_k3_z": z,
+                  "_k3": truthy(av) & truthy(gla) & (n_ok >= 2) & (std > 0) & (z > 2.0)})
+    subj, mean, std, z, k3 = (F.col(c) for c in ("_k3_subj", "_k3_mean", "_k3_std", "_k3_z", "_k3"))
     out["_f3_sev"] = F.when(k3, "warning")
     out["_f3_msg"] = F.when(k3, _s("Subject implied price/sqft ($", fixed0(subj), "/sqft) is ", fixed1(z),
                                    " standard deviations from comp mean ($", fixed0(mean), "/sqft ± $", fixed0(std),
@@ -131,8 +139,9 @@ def _flags(as_of_year: int) -> dict[str, Column]:
     cu = F.upper(cond)
     cu = F.regexp_replace(cu, r"(?U)^\s+|\s+$", "")
     base4 = yb.isNotNull() & cond.isNotNull() & (cond != "")
-    c1 = base4 & cu.contains("C1") & (age > 2)
-    c6 = base4 & ~(cu.contains("C1") & (age > 2)) & cu.contains("C6") & (age < 5)
+    stage["_k4_c1"] = base4 & cu.contains("C1") & (age > 2)
+    stage["_k4_c6"] = base4 & ~(cu.contains("C1") & (age > 2)) & cu.contains("C6") & (age < 5)
+    c1, c6 = F.col("_k4_c1"), F.col("_k4_c6")
     out["_f4_sev"] = F.when(c1 | c6, "warning")
     out["_f4_msg"] = (F.when(c1, _s("Condition rating C1 (new/never occupied) but year_built is ", yb.cast("string"),
                                     " (", age.cast("string"), " years ago). C1 is typically reserved for newly "
@@ -144,9 +153,9 @@ def _flags(as_of_year: int) -> dict[str, Column]:
 
     # K5 bedroom / bathroom counts
     both = beds.isNotNull() & baths.isNotNull()
-    k5a = both & (beds == 0)
-    k5b = both & (baths == 0)
-    k5c = both & truthy(beds) & truthy(baths) & (baths > beds * 2)
+    stage.update({"_k5a": both & (beds == 0), "_k5b": both & (baths == 0),
+                  "_k5c": both & truthy(beds) & truthy(baths) & (baths > beds * 2)})
+    k5a, k5b, k5c = F.col("_k5a"), F.col("_k5b"), F.col("_k5c")
     out["_f5_sev"] = F.when(k5a, "error")
     out["_f5_msg"] = F.when(k5a, MSG_BEDROOMS)
     out["_f5_act"] = F.when(k5a, ACTION_BEDROOMS)
@@ -159,14 +168,15 @@ def _flags(as_of_year: int) -> dict[str, Column]:
     out["_f7_act"] = F.when(k5c, ACTION_RATIO)
 
     # K6 prior sale vs appraised
-    change = F.try_divide(F.abs(av - prior), prior)
-    k6 = truthy(av) & truthy(prior) & (change > 1.0)
+    stage["_k6_change"] = F.try_divide(F.abs(av - prior), prior)
+    stage["_k6"] = truthy(av) & truthy(prior) & (F.col("_k6_change") > 1.0)
+    change, k6 = F.col("_k6_change"), F.col("_k6")
     out["_f8_sev"] = F.when(k6, "warning")
     out["_f8_msg"] = F.when(k6, _s("Appraised value ($", money0(av), ") differs from prior sale ($", money0(prior),
                                    ") by ", percent0(change), ". Changes >100% are unusual and may indicate an "
                                    "extraction error or non-arm's-length prior sale."))
     out["_f8_act"] = F.when(k6, ACTION_PRIOR)
-    return out
+    return stage, out
 
 
 def with_calibration(docs: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
@@ -175,7 +185,10 @@ def with_calibration(docs: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame
     n_present = _sum_in_order([F.when(_present(n), 1).otherwise(0) for n in CRITICAL_FIELDS])
     df = df.withColumns({"_n_present": n_present,
                          "_completeness": n_present / F.lit(float(len(CRITICAL_FIELDS)))})
-    df = df.withColumns(_flags(as_of_year))
+    stage, flags = _flags(as_of_year)
+    for name, col in stage.items():  # in order: later inputs refer to earlier ones
+        df = df.withColumn(name, col)
+    df = df.withColumns(flags).drop(*stage)
     sev = [F.col(f"_f{i}_sev") for i, _, _ in SLOTS]
     # Deduct in flag order, exactly as a running subtraction.
     score = F.lit(1.0)
