@@ -45,7 +45,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the (stored) table has at most max_rows rows; else leave the join to the planner."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def ascii_lower(text: Column) -> Column:
