@@ -19,6 +19,7 @@ clean(); an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -85,10 +86,14 @@ def _windows(texts: list[str]):
         ids += [-1] * (-len(ids) % WINDOW)
         rows.append(np.array(ids, np.int32).reshape(-1, WINDOW))
         owner.append(np.full(len(rows[-1]), d, np.int32))
-    bags = [subwords(w) for w in number]
-    sizes = np.array([len(b) for b in bags], np.int32)
+    flat, sizes = array("i"), array("i")
+    for w in number:
+        bag = subwords(w)
+        flat.frombytes(bag.tobytes())
+        sizes.append(len(bag))
+    sizes = np.array(sizes, np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return np.concatenate(rows), np.concatenate(owner), np.concatenate(bags), starts, sizes
+    return np.concatenate(rows), np.concatenate(owner), np.array(flat, np.int64), starts, sizes
 
 
 def _sigmoid(z):
@@ -116,21 +121,22 @@ def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int], seed: int
     params = [vectors, softmax, offset]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     n_words = len(counts)
-    place = used[real]
+    place, spread = used[real].astype(np.int64), np.repeat(np.arange(len(used)), real.sum(1))
     for step in range(1, EPOCHS + 1):
-        word = np.add.reduceat(vectors[flat], starts, axis=0) / counts[:, None]
-        padded = np.vstack([word, np.zeros((1, DIM), np.float32)])
+        padded = np.zeros((n_words + 1, DIM), np.float32)  # the last row pads; one dimension at a time, to save memory
+        for j in range(DIM):
+            padded[:-1, j] = np.add.reduceat(vectors[flat, j], starts) / counts
         mean = padded[used].sum(1) / WINDOW
         z = mean @ softmax + offset
         p1 = _sigmoid(z[:, 1] - z[:, 0])
         g = (weight * (p1 - target)).astype(np.float32)
         dz = np.stack([-g, g], 1)
         d_mean = dz @ softmax.T / WINDOW
-        spread = np.repeat(np.arange(len(used)), real.sum(1))
-        d_word = np.stack([np.bincount(place, d_mean[spread, j], n_words) for j in range(DIM)], 1) / counts[:, None]
-        each = np.repeat(np.arange(n_words), counts)
-        d_vec = np.stack([np.bincount(flat, d_word[each, j], BUCKETS) for j in range(DIM)], 1)
-        grads = [d_vec.astype(np.float32), mean.T @ dz, dz.sum(0)]
+        d_vec = np.empty_like(vectors)
+        for j in range(DIM):
+            d_word = np.bincount(place, d_mean[spread, j], n_words) / counts
+            d_vec[:, j] = np.bincount(flat, np.repeat(d_word, counts), BUCKETS)
+        grads = [d_vec, mean.T @ dz, dz.sum(0)]
         for p, gr, (m, v) in zip(params, grads, moments):
             m += 0.1 * (gr - m)
             v += 0.01 * (gr * gr - v)
