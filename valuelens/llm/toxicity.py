@@ -19,7 +19,6 @@ clean(); an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -34,12 +33,12 @@ ship(__name__)
 BUCKETS = 1 << 16
 DIM = 4
 WINDOW = 2
-SAMPLE = 1500
+SAMPLE = 1200
 SAMPLE_CHARS = 20_000
 EPOCHS = 40
 THRESHOLD = 0.3
 _EDGE = b".,;:!?()[]{}\"'|*#%$&<>-_"
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 300_000
 
 
 class Model(NamedTuple):
@@ -56,11 +55,23 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def subwords(word: bytes) -> np.ndarray:
-    """Bucket numbers of a word's n-grams and of the word."""
-    w = b"<" + (word.strip(_EDGE) or word) + b">"
-    grams = {w[i:i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)} | {w}
-    return np.fromiter((zlib.crc32(g) & (BUCKETS - 1) for g in grams), np.int32, len(grams))
+def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of the word) of every n-gram of every word and of the words themselves."""
+    marked = [b"<" + (w.strip(_EDGE) or w) + b">" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    text = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
+    owner = np.repeat(np.arange(len(marked)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(text))  # bytes of the word from here on
+    found = [np.fromiter((zlib.crc32(w) for w in marked), np.uint32, len(marked)) & np.uint32(BUCKETS - 1)]
+    owners = [np.arange(len(marked))]
+    for n in (3, 4, 5):
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint32)
+        for k in range(n):
+            h = (h ^ text[at + k]) * np.uint32(0x01000193)  # FNV-1a
+        found.append((h ^ (h >> np.uint32(15))) & np.uint32(BUCKETS - 1))
+        owners.append(owner[at])
+    return np.concatenate(found).astype(np.int64), np.concatenate(owners)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int):
@@ -78,7 +89,8 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int):
 
 
 def _windows(texts: list[str]):
-    """Word numbers in windows (-1 pads), the document of each window, and the words' buckets as (flat, starts, sizes)."""
+    """Word numbers in windows (-1 pads), the document of each window, and of each n-gram its bucket and
+    its word; the n-grams of each word."""
     number: dict[bytes, int] = {}
     rows, owner = [], []
     for d, t in enumerate(texts):
@@ -86,14 +98,8 @@ def _windows(texts: list[str]):
         ids += [-1] * (-len(ids) % WINDOW)
         rows.append(np.array(ids, np.int32).reshape(-1, WINDOW))
         owner.append(np.full(len(rows[-1]), d, np.int32))
-    flat, sizes = array("i"), array("i")
-    for w in number:
-        bag = subwords(w)
-        flat.frombytes(bag.tobytes())
-        sizes.append(len(bag))
-    sizes = np.array(sizes, np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return np.concatenate(rows), np.concatenate(owner), np.array(flat, np.int64), starts, sizes
+    flat, word = bags(list(number))
+    return np.concatenate(rows), np.concatenate(owner), flat, word, np.bincount(word, minlength=len(number))
 
 
 def _sigmoid(z):
@@ -108,7 +114,7 @@ def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int], seed: int
     if len(set(labels[fold].tolist())) < 2 or len(set(labels[~fold].tolist())) < 2:
         flat = float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
         return Model(None, 0.0, 0.0, 0.0, flat, 0.0)
-    win, owner, flat, starts, counts = _windows(texts)
+    win, owner, flat, of_word, counts = _windows(texts)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
@@ -125,7 +131,7 @@ def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int], seed: int
     for step in range(1, EPOCHS + 1):
         padded = np.zeros((n_words + 1, DIM), np.float32)  # the last row pads; one dimension at a time, to save memory
         for j in range(DIM):
-            padded[:-1, j] = np.add.reduceat(vectors[flat, j], starts) / counts
+            padded[:-1, j] = np.bincount(of_word, vectors[flat, j], n_words) / counts
         mean = padded[used].sum(1) / WINDOW
         z = mean @ softmax + offset
         p1 = _sigmoid(z[:, 1] - z[:, 0])
@@ -135,7 +141,7 @@ def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int], seed: int
         d_vec = np.empty_like(vectors)
         for j in range(DIM):
             d_word = np.bincount(place, d_mean[spread, j], n_words) / counts
-            d_vec[:, j] = np.bincount(flat, np.repeat(d_word, counts), BUCKETS)
+            d_vec[:, j] = np.bincount(flat, d_word[of_word], BUCKETS)
         grads = [d_vec, mean.T @ dz, dz.sum(0)]
         for p, gr, (m, v) in zip(params, grads, moments):
             m += 0.1 * (gr - m)
@@ -143,7 +149,7 @@ def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int], seed: int
             p -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     weight_of = vectors @ (softmax[:, 1] - softmax[:, 0])
     bias = float(offset[1] - offset[0])
-    word = np.append(np.add.reduceat(weight_of[flat], starts) / counts, 0.0)
+    word = np.append(np.bincount(of_word, weight_of[flat], n_words) / counts, 0.0)
     z = word[win].sum(1) / WINDOW
     best = np.full(len(labels), -np.inf)
     np.maximum.at(best, owner, z)
@@ -169,15 +175,18 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     def scored(batches):
         cache: dict[bytes, float] = {}
 
-        def value(word: bytes) -> float:
-            v = cache.get(word)
-            if v is None:
-                v = float(model.weight[subwords(word)].mean())
+        def values(words: list[bytes]) -> list[float]:
+            found = list(map(cache.get, words))
+            if None in found:
+                new = list({w for w, v in zip(words, found) if v is None})
+                bucket, word = bags(new)
+                mean = np.bincount(word, model.weight[bucket], len(new)) / np.bincount(word, minlength=len(new))
+                known = dict(zip(new, mean.tolist()))
                 if len(cache) >= _CACHE_WORDS:
                     cache.clear()
-                if len(word) <= 64:
-                    cache[word] = v
-            return v
+                cache.update((w, v) for w, v in known.items() if len(w) <= 64)
+                found = [known[w] if v is None else v for w, v in zip(words, found)]
+            return found
 
         for batch in batches:
             out = []
@@ -186,7 +195,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
                 best, n = model.clean, 1
                 if words:
                     v = np.zeros(-(-len(words) // WINDOW) * WINDOW)
-                    v[:len(words)] = [value(w) for w in words]
+                    v[:len(words)] = values(words)
                     sums = v.reshape(-1, WINDOW).sum(1) / WINDOW
                     best, n = float(sums.max()), len(sums)
                 out.append(float(_sigmoid(model.slope * best + model.per_log * np.log(n) + model.shift)))
