@@ -119,11 +119,11 @@ def fixed1(x) -> Column:
 
 
 def py_float_str(x) -> Column:
-    """Python str(float) for the common range: integral values print as 'n.0'."""
+    """Python str(float): plain digits between 1e-4 and 1e16, integral values as 'n.0'."""
     c = _col(x)
-    return (F.when((c == F.floor(c)) & (F.abs(c) < 1e15),
-                   F.concat(F.floor(c).cast("string"), F.lit(".0")))
-            .otherwise(c.cast("string")))
+    text = c.cast("string")
+    plain = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(text.contains("E") & (F.abs(c) >= 1e-4) & (F.abs(c) < 1e16), plain).otherwise(text)
 
 
 def percent0(x) -> Column:

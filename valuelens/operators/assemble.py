@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import MAX_CHARS, PAGE_SEPARATOR
+from ..schema import MAX_CHARS, PAGE_SEPARATOR, STRATEGIES
 
 # --------------------------------------------------------------------------
 # Minimum text length, request wrappers and error texts.
@@ -59,59 +59,78 @@ def _strategy_label(strategy: Column) -> Column:
     return F.concat(F.lit("ExtractionStrategy."), F.upper(strategy))
 
 
-def choose_strategy(candidates: DataFrame, policy: str = "strict", preferred: str | None = None) -> DataFrame:
-    """Pick one extraction result per document.
-
-    strict   : first non-failed strategy in priority order; if it is not the last
-               configured one and has < 50 chars the document fails.
-    fallback : short non-last results are skipped like failures.
-    preferred: that strategy is tried first, the others keep their order.
-    """
-    prio = F.col("priority")
-    if preferred is not None:
-        prio = F.when(F.col("strategy") == preferred, F.lit(-1)).otherwise(prio)
-    c = candidates.withColumn("_p", prio)
+def _choice(candidates: DataFrame, policy: str, preferred: str | None, min_chars: int,
+            strategies: tuple[str, ...]) -> DataFrame:
+    """The choice per document from small columns alone: no text takes part in it."""
+    if policy not in ("strict", "fallback"):
+        raise ValueError(f"unknown policy {policy!r}")
+    order = [s for s in strategies if s != preferred]
+    order = ([preferred] if preferred is not None else []) + order
+    place = F.coalesce(*[F.when(F.col("strategy") == s, F.lit(i)) for i, s in enumerate(order)], F.lit(len(order)))
+    last_p = len(order) - 1  # of the configured ones, whichever rows are there
     failed = F.col("error").isNotNull()
-    short = F.col("total_chars") < MIN_CHARS
+    short = F.col("total_chars") < min_chars
     short_msg = F.concat(_strategy_label(F.col("strategy")), F.lit(" returned only "),
                          F.col("total_chars").cast("string"), F.lit(" chars — trying next strategy"))
-    agg = c.groupBy("doc_id").agg(
-        F.first("file_name").alias("file_name"),
-        F.max("_p").alias("_last_p"),
-        F.min(F.when(~failed, F.struct(F.col("_p"), F.col("strategy"), F.col("total_chars"),
-                                       F.col("page_count"), F.col("full_text")))).alias("_first_ok"),
-        F.min(F.when(~failed & (~short), F.struct(F.col("_p"), F.col("strategy"), F.col("total_chars"),
-                                                  F.col("page_count"), F.col("full_text")))).alias("_first_long"),
-        F.max(F.when(failed, F.struct(F.col("_p"), F.col("error")))).alias("_last_err"),
-        F.max(F.when(failed | short, F.struct(F.col("_p"), F.when(failed, F.col("error")).otherwise(short_msg)
-                                              .alias("e")))).alias("_last_fail"),
-    )
-    first_ok, last_p = F.col("_first_ok"), F.col("_last_p")
+    pick = F.struct("_p", "strategy", "total_chars", "page_count")
+    agg = candidates.withColumn("_p", place).groupBy("doc_id").agg(
+        F.min("file_name").alias("file_name"),
+        F.min(F.when(~failed, pick)).alias("_first_ok"),
+        F.min(F.when(~failed & (~short), pick)).alias("_first_long"),
+        F.min(F.when(~failed & (F.col("_p") >= last_p), pick)).alias("_last_ok"),
+        F.max(F.when(failed, F.struct("_p", "error"))).alias("_last_err"),
+        F.max(F.when(failed | short, F.struct("_p", F.when(failed, F.col("error")).otherwise(short_msg).alias("e"))))
+        .alias("_last_fail"))
+    first_ok = F.col("_first_ok")
     if policy == "strict":
-        is_short = first_ok.isNotNull() & (first_ok.getField("_p") != last_p) & \
-            (first_ok.getField("total_chars") < MIN_CHARS)
+        is_short = first_ok.isNotNull() & (first_ok.getField("_p") < last_p) & \
+            (first_ok.getField("total_chars") < min_chars)
         chosen = F.when(~is_short, first_ok)
         error = (F.when(first_ok.isNull(), F.concat(F.lit(ALL_FAILED), F.col("_last_err").getField("error")))
                  .when(is_short, F.concat(_strategy_label(first_ok.getField("strategy")), F.lit(" returned only "),
                                           first_ok.getField("total_chars").cast("string"),
                                           F.lit(" chars — trying next strategy"))))
-    elif policy == "fallback":
+    else:
         # the last configured strategy is accepted at any length
-        last_ok = F.when(first_ok.isNotNull() & (first_ok.getField("_p") == last_p), first_ok)
-        chosen = F.coalesce(F.col("_first_long"), last_ok)
+        chosen = F.coalesce(F.col("_first_long"), F.col("_last_ok"))
         error = F.when(chosen.isNull(), F.concat(F.lit(ALL_FAILED), F.col("_last_fail").getField("e")))
-    else:
-        raise ValueError(f"unknown policy {policy!r}")
     return agg.select(
         "doc_id", "file_name",
         F.when(chosen.isNotNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
         chosen.getField("strategy").alias("strategy_used"),
         chosen.getField("total_chars").alias("total_chars"),
         chosen.getField("page_count").alias("page_count"),
-        chosen.getField("full_text").alias("full_text"),
         error.alias("error"))
 
 
+def choose_strategy(candidates: DataFrame, policy: str = "strict", preferred: str | None = None,
+                    min_chars: int = MIN_CHARS, strategies: tuple[str, ...] = tuple(STRATEGIES)) -> DataFrame:
+    """Pick one extraction result per document.
+
+    strict   : first non-failed strategy in priority order; if it is not the last
+               configured one and has fewer than min_chars characters the document fails.
+    fallback : short non-last results are skipped like failures.
+    preferred: that strategy is tried first, the others keep their order.
+    """
+    choice = _choice(candidates.drop("full_text"), policy, preferred, min_chars, strategies)
+    text = candidates.select("doc_id", F.col("strategy").alias("strategy_used"), "full_text")
+    return choice.join(text, ["doc_id", "strategy_used"], "left").select(
+        "doc_id", "file_name", "status", "strategy_used", "total_chars", "page_count", "full_text", "error")
+
+
+def choose_and_assemble(pages: DataFrame, policy: str = "strict", preferred: str | None = None,
+                        min_chars: int = MIN_CHARS, strategies: tuple[str, ...] = tuple(STRATEGIES)) -> DataFrame:
+    """choose_strategy over pages: the choice reads lengths only, then the winner's text is assembled once."""
+    lengths = pages.groupBy("doc_id", "file_name", "strategy").agg(
+        F.sum(F.length(F.coalesce("raw_text", F.lit("")))).alias("total_chars"),
+        F.count(F.lit(1)).alias("page_count"), F.max("error").alias("error"))
+    choice = _choice(lengths, policy, preferred, min_chars, strategies)
+    won = choice.where("status = 'ok'").select("doc_id", F.col("strategy_used").alias("strategy"))
+    text = assemble_documents(pages.join(won, ["doc_id", "strategy"], "left_semi")).select("doc_id", "full_text")
+    return choice.join(text, "doc_id", "left").select(
+        "doc_id", "file_name", "status", "strategy_used", "total_chars", "page_count", "full_text", "error")
+
+
 def truncate_text(text: Column, max_chars: int = MAX_CHARS) -> Column:
     return F.substring(text, 1, max_chars)
 
@@ -133,7 +152,7 @@ def loan_request(text: Column, max_chars: int = MAX_CHARS) -> Column:
 
 def document_name(file_name: Column, path: Column) -> Column:
     """Given name, else the path's base name, else 'unknown.pdf'."""
-    return F.coalesce(file_name, F.when(path.isNotNull(), F.regexp_extract(path, r"([^/]+)$", 1)),
+    return F.coalesce(F.nullif(file_name, F.lit("")), F.when(path.isNotNull(), F.regexp_extract(path, r"([^/]+)$", 1)),
                       F.lit(UNKNOWN_NAME))
 
 

@@ -30,6 +30,8 @@ from . import validate as V
 # --------------------------------------------------------------------------
 STATUS_OK, STATUS_ERROR = "success", "error"
 PDF_FAILED = "PDF extraction failed: "
+# Values keep their blanks, quotes, commas and newlines; a quote inside a value is doubled.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 # --------------------------------------------------------------------------
 
 
@@ -80,10 +82,9 @@ def batch_rows(docs: DataFrame) -> DataFrame:
 def process_pages(pages: DataFrame) -> DataFrame:
     """End-to-end: pages -> document text -> strategy -> labelled extraction -> validate ->
     calibrate -> comps, with status/error per document."""
-    docs = D.assemble_documents(pages)
-    chosen = D.choose_strategy(docs, "strict")
+    chosen = D.choose_and_assemble(pages, "strict")
     staged = chosen.select(
-        "doc_id", "file_name", D.truncate_text(F.col("full_text")).alias("text"),
+        "doc_id", "file_name", F.col("full_text").alias("text"),
         F.when(F.col("status") == "ok", F.lit(STATUS_OK)).otherwise(F.lit(STATUS_ERROR)).alias("status"),
         F.when(F.col("error").isNotNull(), F.concat(F.lit(PDF_FAILED), F.col("error"))).alias("error"))
     return analysed(E.extract_labelled(staged, keep=("status", "error")))
@@ -118,29 +119,34 @@ def output_dir(spark: SparkSession, name: str) -> str:
 def write_batch_csv(rows: DataFrame, path: str) -> None:
     """UTF-8 CSV with header, the 67 columns in order, empty fields left empty."""
     (rows.select(*CSV_HEADERS).write.mode("overwrite")
-     .option("header", True).option("emptyValue", "").option("nullValue", "").csv(path))
+     .options(header=True, emptyValue="", nullValue="", **CSV_OPTIONS).csv(path))
 
 
 def read_batch_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in CSV_HEADERS])
-    df = spark.read.option("header", True).schema(schema).csv(path)
+    df = spark.read.options(header=True, multiLine=True, **CSV_OPTIONS).schema(schema).csv(path)
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in CSV_HEADERS])
 
 
 def write_reports_json(processed: DataFrame, path: str) -> None:
-    """One JSON report per document: header, fields, confidence summary, calibration and comp analysis."""
-    counts = R.confidence_counts()
-    report = processed.select(
-        "doc_id", "file_name", "status",
-        F.col("fields"),
-        F.struct(*counts).alias("confidence_summary"),
-        F.struct(*K.report_columns()).alias("calibration"),
-        F.struct(*C.report_columns()).alias("comp_analysis"))
-    report.write.mode("overwrite").json(path)
+    """One JSON report per document: header, fields, confidence summary, calibration and comp analysis.
+
+    A failed document has its error and no report."""
+    reports(processed).write.mode("overwrite").json(path)
+
+
+def reports(processed: DataFrame) -> DataFrame:
+    ok = F.col("status") == STATUS_OK
+    return processed.select(
+        "doc_id", "file_name", "status", "error",
+        F.when(ok, F.col("fields")).alias("fields"),
+        F.when(ok, F.struct(*R.confidence_counts())).alias("confidence_summary"),
+        F.when(ok, F.struct(*K.report_columns())).alias("calibration"),
+        F.when(ok, F.struct(*C.report_columns())).alias("comp_analysis"))
 
 
-def read_reports_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path)
+def read_reports_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).json(path)
 
 
 # ------------------------------------------------------------------ sources

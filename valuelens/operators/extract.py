@@ -7,6 +7,8 @@ Found -> confidence high with the verbatim line as snippet; not found -> missing
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,16 +43,16 @@ def loan_label(name: str) -> str:
 
 
 def label_pattern(label: str) -> str:
-    return rf"(?m)^{label}:[ \t]*(.*?)[ \t]*$"
+    return rf"(?m)^{re.escape(label)}:[ \t]*(.*?)[ \t]*$"
 
 
 def line_pattern(label: str) -> str:
-    return rf"(?m)^({label}:.*?)[ \t]*$"
+    return rf"(?m)^({re.escape(label)}:.*?)[ \t]*$"
 
 
 def _extract(text: Column, name: str, label: str, post=None) -> Column:
-    found = text.rlike(label_pattern(label))
     value = F.regexp_extract(text, label_pattern(label), 1)
+    found = value != ""  # no such line, or nothing after the label
     if post is not None:
         value = post(value)
     return F.struct(

@@ -301,22 +301,27 @@ REGISTRY["choose_strategy_fallback"] = _choice("fallback")
 REGISTRY["choose_strategy_preferred"] = _choice("strict", "pymupdf")
 
 
+def _chosen_texts(spark, sf):
+    """Every document that some strategy could read, with that strategy's text."""
+    return D.choose_strategy(PG.strategy_candidates(spark, sf), "fallback").where("status = 'ok'")
+
+
 @query("truncate_text")
 def q_truncate_text(spark, sf):
-    d = PG.strategy_candidates(spark, sf).filter(F.col("priority") == 0).filter(F.col("error").isNull())
+    d = _chosen_texts(spark, sf)
     t = D.truncate_text(F.col("full_text"))
     return d.select("doc_id", t.alias("text"), F.length(t).alias("n_chars"))
 
 
 @query("build_appraisal_request")
 def q_build_appraisal_request(spark, sf):
-    d = PG.strategy_candidates(spark, sf).filter(F.col("priority") == 0).filter(F.col("error").isNull())
+    d = _chosen_texts(spark, sf)
     return d.select("doc_id", D.appraisal_request(F.col("full_text")).alias("request"))
 
 
 @query("build_loan_request")
 def q_build_loan_request(spark, sf):
-    d = PG.strategy_candidates(spark, sf).filter(F.col("priority") == 0).filter(F.col("error").isNull())
+    d = _chosen_texts(spark, sf)
     return d.select("doc_id", D.loan_request(F.col("full_text")).alias("request"))
 
 
@@ -379,7 +384,7 @@ from ..sources import render as RD  # noqa: E402
 @query("extract_labelled")
 def q_extract_labelled(spark, sf):
     docs = D.assemble_documents(RD.appraisal_pages(spark, sf))
-    x = EX.extract_labelled(docs.withColumn("text", D.truncate_text(F.col("full_text"))))
+    x = EX.extract_labelled(docs.withColumnRenamed("full_text", "text"))
     return R.fields_long(x).select("doc_id", "ord", "field_name", "value", "confidence", "source_snippet")
 
 
@@ -428,8 +433,9 @@ def q_write_batch_csv(spark, sf):
 @query("write_reports_json")
 def q_write_reports_json(spark, sf):
     path = B.output_dir(spark, "reports-json")
-    B.write_reports_json(_processed(spark, sf), path)
-    r = B.read_reports_json(spark, path)
+    processed = _processed(spark, sf)
+    B.write_reports_json(processed, path)
+    r = B.read_reports_json(spark, path, B.reports(processed).schema)
     return r.select("doc_id", "file_name", "status",
                     F.col("calibration.reliability_score").alias("reliability_score"),
                     F.col("calibration.error_count").alias("error_count"),
@@ -442,12 +448,6 @@ def q_field_catalogue(spark, sf):
     return B.field_catalogue(_validated(spark, sf))
 
 
-@query("scan_folder")
-def q_scan_folder(spark, sf):
-    files = B.scan_folder(spark, sf, "*.parquet")
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
-
-
 FLAGSHIP = "batch_pipeline"
 
 

@@ -606,6 +606,9 @@ def _choice_sql(policy: str, preferred: str | None = None) -> str:
     arg_min(strategy, p) FILTER (WHERE error IS NULL AND total_chars >= 50) AS long_s,
     arg_min(total_chars, p) FILTER (WHERE error IS NULL AND total_chars >= 50) AS long_n,
     arg_min(page_count, p) FILTER (WHERE error IS NULL AND total_chars >= 50) AS long_pc,
+    arg_min(strategy, p) FILTER (WHERE error IS NULL AND strategy = 'pymupdf') AS end_s,
+    arg_min(total_chars, p) FILTER (WHERE error IS NULL AND strategy = 'pymupdf') AS end_n,
+    arg_min(page_count, p) FILTER (WHERE error IS NULL AND strategy = 'pymupdf') AS end_pc,
     arg_max(error, p) FILTER (WHERE error IS NOT NULL) AS last_err,
     arg_max(CASE WHEN error IS NOT NULL THEN error ELSE {short_msg} END, p)
       FILTER (WHERE error IS NOT NULL OR total_chars < 50) AS last_fail
@@ -622,12 +625,12 @@ def _choice_sql(policy: str, preferred: str | None = None) -> str:
 FROM ch"""
     else:
         take_long = "long_s IS NOT NULL"
-        take_last = "(long_s IS NULL AND ok_p IS NOT NULL AND ok_p = last_p)"
+        take_last = "(long_s IS NULL AND end_s IS NOT NULL)"
         sel = f"""SELECT doc_id, file_name,
   CASE WHEN {take_long} OR {take_last} THEN 'ok' ELSE 'error' END AS status,
-  CASE WHEN {take_long} THEN long_s WHEN {take_last} THEN ok_s END AS strategy_used,
-  CASE WHEN {take_long} THEN long_n WHEN {take_last} THEN ok_n END AS total_chars,
-  CASE WHEN {take_long} THEN long_pc WHEN {take_last} THEN ok_pc END AS page_count,
+  CASE WHEN {take_long} THEN long_s WHEN {take_last} THEN end_s END AS strategy_used,
+  CASE WHEN {take_long} THEN long_n WHEN {take_last} THEN end_n END AS total_chars,
+  CASE WHEN {take_long} THEN long_pc WHEN {take_last} THEN end_pc END AS page_count,
   CASE WHEN NOT ({take_long} OR {take_last}) THEN 'All PDF extraction strategies failed. Last error: ' || last_fail
   END AS error
 FROM ch"""
@@ -637,7 +640,9 @@ FROM ch"""
 ORACLE["choose_strategy"] = _choice_sql("strict")
 ORACLE["choose_strategy_fallback"] = _choice_sql("fallback")
 ORACLE["choose_strategy_preferred"] = _choice_sql("strict", "pymupdf")
-_first_ok_docs = "SELECT doc_id, full_text FROM cand WHERE priority = 0 AND error IS NULL"
+# long enough from the first strategy that gives it, else whatever the last one gives
+_first_ok_docs = ("SELECT doc_id, full_text FROM cand WHERE error IS NULL AND (total_chars >= 50 OR priority = 1) "
+                  "QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total_chars < 50, priority) = 1")
 ORACLE["truncate_text"] = W(CAND_CTE) + (f"\nSELECT doc_id, substring(full_text, 1, 12000) AS text, "
                                          f"length(substring(full_text, 1, 12000)) AS n_chars FROM ({_first_ok_docs})")
 
@@ -790,7 +795,7 @@ xdocs AS (
   SELECT doc_id, file_name, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status,
     CASE WHEN error IS NOT NULL THEN 'PDF extraction failed: All PDF extraction strategies failed. Last error: '
       || error END AS error,
-    CASE WHEN error IS NULL THEN substring(full_text, 1, 12000) END AS text
+    CASE WHEN error IS NULL THEN full_text END AS text
   FROM rdocs)"""
 
 
@@ -809,7 +814,7 @@ def _xfields(names, labels, text="text", post=None) -> str:
         val = f"regexp_extract({text}, {_pat(lb)}, 1)"
         if post and n in post:
             val = post[n](val)
-        found = f"regexp_matches({text}, {_pat(lb)})"
+        found = f"regexp_extract({text}, {_pat(lb)}, 1) <> ''"
         out.append(f"CASE WHEN {found} THEN {val} END AS {n}, CASE WHEN {found} THEN 'high' ELSE 'missing' END "
                    f"AS {n}__c, CASE WHEN {found} THEN regexp_extract({text}, {_line_pat(lb)}, 1) END AS {n}__s")
     return ",\n    ".join(out)
@@ -897,7 +902,4 @@ ORACLE["field_catalogue"] = W(APPR_CTE, VAL_CTE) + (
     + Q.unnest_fields(APPRAISAL_FIELDS, "val", {"confidence": "{f}__c"}) + ") GROUP BY ord, field_name")
 
 # ------------------------------------------------------------------ streaming intake (final table)
-ORACLE["incremental_intake"] = W(APPR_CTE, RESP_CTE) + "\nSELECT doc_id, " + ", ".join(
-    "CAST(" + " + ".join(f"(CASE WHEN coalesce({_jx('confidence', n)}, 'missing') = '{lv}' THEN 1 ELSE 0 END)"
-                         for n in APPRAISAL_FIELDS) + f" AS BIGINT) AS {lv}"
-    for lv in ("high", "medium", "low", "missing")) + " FROM resp"
+ORACLE["incremental_intake"] = ORACLE["decode_appraisal_repair"]

@@ -82,13 +82,6 @@ NUMERIC_FIELDS = [
     "prior_sale_price", "comp_1_sale_price", "comp_2_sale_price", "comp_3_sale_price",
 ]
 
-# Loan fields visited by rule validation.
-LOAN_NUMERIC_FIELDS = [
-    "loan_amount", "purchase_price", "down_payment", "gross_monthly_income", "base_monthly_income",
-    "checking_savings_balance", "monthly_debt_payments", "interest_rate", "ltv_ratio", "dti_ratio",
-    "credit_score", "loan_term_months",
-]
-
 # Fields exported as value + confidence column pairs in the batch CSV.
 CSV_FIELDS = [
     "property_address", "city", "state", "zip_code",
@@ -146,14 +139,3 @@ DOC_SCHEMA = T.StructType([
     T.StructField("file_name", T.StringType(), True),
     T.StructField("fields", APPRAISAL_STRUCT, False),
 ])
-
-PAGES_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType(), False),
-    T.StructField("file_name", T.StringType(), True),
-    T.StructField("strategy", T.StringType(), False),
-    T.StructField("priority", T.IntegerType(), False),
-    T.StructField("page_number", T.IntegerType(), True),
-    T.StructField("raw_text", T.StringType(), True),
-    T.StructField("tables", T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))), True),
-    T.StructField("error", T.StringType(), True),
-])
