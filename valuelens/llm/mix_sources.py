@@ -153,7 +153,7 @@ def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         F.sum("got").alias("taken"), F.min("position").alias("first_position"),
         F.sum(F.when(F.col("lap") == 0, F.col("got")).otherwise(0)).alias("first_lap"))
     return placed.join(taken, "key", "left").join(small(goal, 100_000), "s").select(
-        "doc_id", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        "doc_id", "key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
         F.coalesce("first_lap", F.lit(0)).cast("long").alias("first_lap"), "first_position")
 
 

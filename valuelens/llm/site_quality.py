@@ -90,7 +90,7 @@ def evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column, row
     got = _featured(part.dropDuplicates(["doc_id"])).orderBy("doc_id").toPandas()  # at most `rows` rows of 11 numbers
     y = got["quality"].to_numpy(float)
     base = float(y.mean()) if len(y) else 0.5
-    model = fit(np.stack(got["x"].tolist()), y) if 0 < base < 1 else None
+    model = fit(np.stack(got["x"].tolist()), y) if len(y) and 0 < base < 1 else None
 
     def run(batches):
         for batch in batches:
