@@ -887,9 +887,12 @@ ORACLE["batch_summary"] = _PIPE + (
     f"AS avg_processing_time_s, {Q.rnd("avg(CASE WHEN status = 'success' THEN coalesce(score, 0.0::DOUBLE) END)", 6)} "
     f"AS avg_reliability_score FROM {_PROC}")
 ORACLE["write_reports_json"] = _PIPE + (
-    f"\nSELECT doc_id, file_name, status, score AS reliability_score, n_err AS error_count, comp_quality_label, "
-    f"CAST(" + " + ".join(f"(CASE WHEN {n}__c = 'high' THEN 1 ELSE 0 END)" for n in APPRAISAL_FIELDS)
-    + f" AS BIGINT) AS high FROM {_PROC}")
+    f"\nSELECT doc_id, file_name, status, CASE WHEN status = 'success' THEN score END AS reliability_score, "
+    f"CASE WHEN status = 'success' THEN n_err END AS error_count, "
+    f"CASE WHEN status = 'success' THEN comp_quality_label END AS comp_quality_label, "
+    f"CASE WHEN status = 'success' THEN CAST(" + " + ".join(
+        f"(CASE WHEN {n}__c = 'high' THEN 1 ELSE 0 END)" for n in APPRAISAL_FIELDS)
+    + f" AS BIGINT) END AS high FROM {_PROC}")
 
 _desc = ", ".join("'" + d.replace("'", "''") + "'" for _, d in __import__(
     "valuelens.schema", fromlist=["APPRAISAL_FIELDS_WITH_DESCRIPTIONS"]).APPRAISAL_FIELDS_WITH_DESCRIPTIONS)
