@@ -41,7 +41,7 @@ FAMILY = ["flat_appraisal", "field_view", "parse_currency", "post_validate", "po
           "calibration_flags", "field_reliabilities", "analyze_comps", "gla_adjustments", "compare_summary",
           "compare_digest", "assemble_documents", "choose_strategy_fallback", "build_appraisal_request",
           "decode_appraisal_repair", "decode_loan", "extract_labelled", "batch_pipeline", "batch_summary",
-          "write_batch_csv", "field_catalogue"]
+          "write_batch_csv", "field_catalogue", "response_pipeline", "loan_pipeline"]
 OWN = [n for n in ORACLE if not n.startswith("op") and n != "pipeline"]
 PARITY = sorted(OWN) if os.environ.get("VALUELENS_FULL_PARITY") else FAMILY
 

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import py_bool_str, py_round4_str, round_half_up
-from ..schema import CSV_FIELDS, CSV_HEADERS
+from ..schema import CSV_FIELDS, CSV_HEADERS, LOAN_FIELDS
 from ..session import ensure_checkpoint_dir
 from . import assemble as D
 from . import calibrate as K
 from . import comps as C
+from . import decode as J
 from . import extract as E
 from . import records as R
 from . import validate as V
@@ -90,6 +91,35 @@ def process_pages(pages: DataFrame) -> DataFrame:
     return analysed(E.extract_labelled(staged, keep=("status", "error")))
 
 
+def _decoded(responses: DataFrame, **names) -> DataFrame:
+    decoded = J.decode_repair(responses, keep=("file_name",), **names)
+    return decoded.withColumn("status", F.when(F.col("status") == "ok", F.lit(STATUS_OK)).otherwise(F.lit(STATUS_ERROR)))
+
+
+def process_responses(responses: DataFrame) -> DataFrame:
+    """JSON responses (doc_id, file_name, json) -> strict decode -> validate -> calibrate -> comps, with status/error per
+    document.  Row-local: nothing shuffles.  A response that cannot be decoded has null fields."""
+    return analysed(_decoded(responses))
+
+
+def process_loan_responses(responses: DataFrame) -> DataFrame:
+    """The same for loan applications: strict decode -> validate, with status/error per document."""
+    return V.post_validate_loan(_decoded(responses, names=LOAN_FIELDS))
+
+
+def loan_rows(processed: DataFrame) -> DataFrame:
+    """One flat row per loan application: status, values and confidences (blank if it failed), counts per confidence."""
+    ok = F.col("status") == STATUS_OK
+    cols = []
+    for f in LOAN_FIELDS:
+        fld = F.col("fields").getField(f)
+        cols.append(F.when(ok, F.coalesce(fld.getField("value"), F.lit(""))).otherwise(F.lit("")).alias(f))
+        cols.append(F.when(ok, fld.getField("confidence")).otherwise(F.lit("")).alias(f"{f}_confidence"))
+    levels = ("high", "medium", "low", "missing")
+    counts = [F.when(ok, c).alias(n) for n, c in zip(levels, R.confidence_counts(LOAN_FIELDS))]
+    return processed.select("doc_id", "file_name", "status", F.coalesce("error", F.lit("")).alias("error"), *cols, *counts)
+
+
 def batch_status(processed: DataFrame) -> DataFrame:
     return processed.select("doc_id", "file_name", "status", F.coalesce("error", F.lit("")).alias("error"))
 

@@ -408,6 +408,20 @@ def q_batch_pipeline(spark, sf):
     return B.report_rows(_processed(spark, sf))
 
 
+def _named(responses: DataFrame, kind: str) -> DataFrame:
+    return responses.withColumn("file_name", F.concat(F.lit(f"{kind}_"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+
+
+@query("response_pipeline")
+def q_response_pipeline(spark, sf):
+    return B.report_rows(B.process_responses(_named(RS.appraisal_responses(spark, sf), "appraisal")))
+
+
+@query("loan_pipeline")
+def q_loan_pipeline(spark, sf):
+    return B.loan_rows(B.process_loan_responses(_named(RS.loan_responses(spark, sf), "loan")))
+
+
 @query("batch_status")
 def q_batch_status(spark, sf):
     return B.batch_status(_processed(spark, sf))

@@ -878,6 +878,40 @@ ORACLE["batch_rows"] = W(APPR_CTE, VAL_CTE, NUM_CTE, CAL_CTE, COMP_CTE, REP_CTE)
 _PIPE = W(SRC_APPR_CTE, RENDER_CTE, XAPPR_CTE, VAL_CTE, NUM_CTE, CAL_CTE, COMP_CTE, REP_CTE)
 ORACLE["batch_pipeline"] = _PIPE + "\n" + _row_sql("xdocs")
 ORACLE["write_batch_csv"] = _PIPE + "\nSELECT * EXCLUDE (doc_id) FROM (" + _row_sql("xdocs") + ")"
+
+
+def _decoded_cte(name: str, resp: str, names: list[str], kind: str) -> str:
+    """name_docs (status and error per response) and name (doc_id, file_name, f, f__c), all missing where decoding failed."""
+    fields = ", ".join(
+        f"json_extract_string(json, '$.{f}.value') AS {f}, "
+        f"coalesce(json_extract_string(json, '$.{f}.confidence'), 'missing') AS {f}__c" for f in names)
+    return f"""{name}_strict AS ({_strict_sql(resp, names)}),
+{name}_docs AS (
+  SELECT d.doc_id, '{kind}_' || d.doc_id || '.pdf' AS file_name, d.error,
+         CASE WHEN d.status = 'ok' THEN 'success' ELSE 'error' END AS status,
+         CASE WHEN d.status = 'ok' THEN r.json END AS json
+  FROM {name}_strict d JOIN {resp} r ON d.doc_id = r.doc_id),
+{name} AS (SELECT doc_id, file_name, {fields} FROM {name}_docs)"""
+
+
+def _blank_unless_ok(x: str) -> str:
+    return f"CASE WHEN x.status = 'success' THEN {x} ELSE '' END"
+
+
+ORACLE["response_pipeline"] = W(
+    SRC_APPR_CTE, RESP_CTE.replace("FROM appr", "FROM src_appr"),
+    _decoded_cte("appr", "resp", APPRAISAL_FIELDS, "appraisal"), VAL_CTE, NUM_CTE, CAL_CTE, COMP_CTE, REP_CTE) + (
+    "\n" + _row_sql("appr_docs"))
+_LOAN_COLS = ", ".join(f"{_blank_unless_ok(f'coalesce(v.{f}, {chr(39)}{chr(39)})')} AS {f}, "
+                       f"{_blank_unless_ok(f'v.{f}__c')} AS {f}_confidence" for f in LOAN_FIELDS)
+_LOAN_COUNTS = ", ".join(f"CASE WHEN x.status = 'success' THEN c.{lv} END AS {lv}"
+                         for lv in ("high", "medium", "low", "missing"))
+ORACLE["loan_pipeline"] = W(
+    LOAN_CTE.replace("loan AS (", "src_loan AS ("), LRESP_CTE.replace("FROM loan", "FROM src_loan"),
+    _decoded_cte("loan", "lresp", LOAN_FIELDS, "loan"), LVAL_CTE) + (
+    f"\nSELECT v.doc_id, v.file_name, x.status, coalesce(x.error, '') AS error, {_LOAN_COLS}, {_LOAN_COUNTS} "
+    f"FROM lval v JOIN loan_docs x ON v.doc_id = x.doc_id "
+    f"JOIN (SELECT doc_id, {_counts(LOAN_FIELDS)} FROM lval) c ON v.doc_id = c.doc_id")
 _PROC = "(SELECT rep.*, x.status, x.error FROM rep JOIN xdocs x ON rep.doc_id = x.doc_id)"
 ORACLE["batch_status"] = _PIPE + f"\nSELECT doc_id, file_name, status, coalesce(error, '') AS error FROM {_PROC}"
 ORACLE["batch_failures"] = _PIPE + f"\nSELECT doc_id, file_name, error FROM {_PROC} WHERE status = 'error'"
