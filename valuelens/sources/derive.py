@@ -11,6 +11,8 @@ the whole tables, so its cost grows with the data:
   per map partition.
 * pivot of the 3 lines: an aggregate on the same key, reusing the window's hash
   partitioning (no extra exchange).
+* the oracle fixes this derivation, so the registered queries leave out the lines
+  after the third; ``appraisals(..., every_line=True)`` reads all of them.
 * orders LEFT JOIN comps on the order key (sort-merge or AQE broadcast by size).
 """
 
@@ -23,6 +25,8 @@ from ..schema import APPRAISAL_FIELDS, LOAN_FIELDS
 from ..session import read_table
 
 COMP_SLOTS = (1, 2, 3)
+#: Order keys are below it.
+PART_STEP = 1 << 40
 
 
 def _money(x: Column) -> Column:
@@ -60,22 +64,29 @@ def missing_field() -> Column:
     return field(None)
 
 
-def order_comps(lineitem: DataFrame) -> DataFrame:
-    """First three lines of every order as one row: (l_orderkey, n_lines, p1..p3, q1..q3)."""
+def order_comps(lineitem: DataFrame, every_line: bool = False) -> DataFrame:
+    """Three lines of an order as one row: (l_orderkey, part, n_lines, p1..p3, q1..q3).
+
+    Part 0 holds the first three lines.  With ``every_line`` the lines 3n+1 to 3n+3 are part n, so that
+    every line is read; an order's lines then meet in one task.
+    """
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     top = (lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity")
-           .withColumn("rn", F.row_number().over(w))
-           .filter(F.col("rn") <= 3))
+           .withColumn("rn", F.row_number().over(w)))
+    if every_line:
+        top = top.withColumn("part", F.expr("(rn - 1) div 3")).withColumn("rn", F.expr("(rn - 1) % 3 + 1"))
+    else:
+        top = top.filter(F.col("rn") <= 3).withColumn("part", F.lit(0).cast("long"))
     aggs = [F.max("rn").alias("n_lines")]
     for i in COMP_SLOTS:
         aggs.append(F.max(F.when(F.col("rn") == i, F.col("l_partkey"))).alias(f"p{i}"))
         aggs.append(F.max(F.when(F.col("rn") == i, F.col("l_quantity"))).alias(f"q{i}"))
-    return top.groupBy("l_orderkey").agg(*aggs)
+    return top.groupBy("l_orderkey", "part").agg(*aggs)
 
 
-def _order_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _order_base(spark: SparkSession, sf_dir: str, every_line: bool = False) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    comps = order_comps(read_table(spark, sf_dir, "lineitem"))
+    comps = order_comps(read_table(spark, sf_dir, "lineitem"), every_line)
     k = F.col("o_orderkey")
     ck = F.col("o_custkey")
     return (orders.join(comps, orders.o_orderkey == comps.l_orderkey, "left")
@@ -86,6 +97,7 @@ def _order_base(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.when(ck % 8 == 0, F.lit(2.2)).when(ck % 8 == 1, F.lit(1.6)).otherwise(F.lit(1.0)).alias("f"),
                 F.when(k % 9 == 0, F.lit("medium")).when(k % 9 == 1, F.lit("low")).otherwise(F.lit("high"))
                 .alias("_cp"),
+                F.coalesce("part", F.lit(0).cast("long")).alias("part"),
                 F.coalesce(F.col("n_lines"), F.lit(0)).alias("n_lines"),
                 *[F.col(f"p{i}") for i in COMP_SLOTS], *[F.col(f"q{i}") for i in COMP_SLOTS]))
 
@@ -132,13 +144,18 @@ def appraisal_field_columns() -> dict[str, Column]:
     return cols
 
 
-def appraisals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, file_name, fields) — one derived appraisal per order."""
+def appraisals(spark: SparkSession, sf_dir: str, every_line: bool = False) -> DataFrame:
+    """(doc_id, file_name, fields) — one derived appraisal per order, from its first three lines.
+
+    With ``every_line``: one per part of an order, so that no line is left out.  Part 0 has the row it has
+    without; part n has doc_id ``n * PART_STEP + o_orderkey`` and its number in the file name.
+    """
     cols = appraisal_field_columns()
     fields = F.struct(*[(cols.get(n) if n in cols else missing_field()).alias(n) for n in APPRAISAL_FIELDS])
-    return _order_base(spark, sf_dir).select(
-        F.col("k").alias("doc_id"),
-        F.concat(F.lit("appraisal_"), F.col("k").cast("string"), F.lit(".pdf")).alias("file_name"),
+    part = F.when(F.col("part") > 0, F.concat(F.lit("_"), F.col("part").cast("string"))).otherwise("")
+    return _order_base(spark, sf_dir, every_line).select(
+        (F.col("part") * PART_STEP + F.col("k")).alias("doc_id"),
+        F.concat(F.lit("appraisal_"), F.col("k").cast("string"), part, F.lit(".pdf")).alias("file_name"),
         fields.alias("fields"))
 
 
