@@ -221,6 +221,20 @@ def test_token_counts(spark, odd, empty):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_token_counts_of_long_runs_are_those_of_the_whole():
+    encoding = token_counts._encoder(None)[0]
+    rng = np.random.default_rng(5)
+    pieces = ["word", "don't", " ", "12", "--", "é", "\u3000", "\x1c", "\n" * 1500, " " * 2000, "\t \n\xa0" * 900, " \x85" * 600 + "\n"]
+    for _ in range(60):
+        text = "".join(pieces[j] for j in rng.integers(0, len(pieces), 9))
+        assert token_counts._around_runs(encoding, text) == encoding.encode_ordinary(text)
+    # the splitter gives up on the run; the word before it lies on both sides of character 100,000
+    ends = token_counts.token_ends("ab " * 33_333 + "information" + " " * 1_000_000 + "end")
+    head = token_counts.token_ends("ab " * 33_333 + "information")
+    assert ends[:len(head)].tolist() == head.tolist() and ends[-1] == 99_999 + 11 + 1_000_000 + 3
+    assert ends[-2] == ends[-1] - 4  # the run's last blank goes with the word
+
+
 def _auc(score, y):
     rank = np.argsort(np.argsort(score))
     n1 = y.sum()

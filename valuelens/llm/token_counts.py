@@ -11,13 +11,14 @@ the document; nothing is shuffled.
 
 Defined results: a null or empty text has one section without tokens; every row gives its own sections, repeated rows
 too; strings that look like control tokens are ordinary text; extra columns are ignored; an empty table gives an empty
-result.  A text on which the encoder's splitter gives up (one run of a million like characters) is encoded in pieces of
-PIECE characters.
+result.  A text on which the encoder's splitter gives up (a run of some hundred thousand blanks) is cut only where the pattern
+always breaks, at both ends of its long runs, so it has the tokens of the whole document.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from .common import ship
 ship(__name__)
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-PIECE = 100_000
+#: Long runs of what the pattern's \s stands for.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 _LOADED: dict = {}
 
 
@@ -49,15 +51,27 @@ def _encoder(path: str | None):
     return _LOADED[path]
 
 
+def _around_runs(encoding, text: str) -> list[int]:
+    """The tokens of a text, its long runs of blanks taken past the splitter: but for a last blank before other
+    characters, which goes with these, a run is one piece of the pattern."""
+    ids, at = [], 0
+    for run in _RUN.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at:run.start()])
+        ids += encoding._encode_single_piece(text[run.start():stop])
+        at = stop
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def token_ends(text: str, path: str | None = None) -> np.ndarray:
     """Where each token ends, in bytes."""
     encoding, size = _encoder(path)
     try:
         ids = encoding.encode_ordinary(text)
     except BaseException as e:  # the splitter's panic is not an Exception
-        if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)) or len(text) <= PIECE:
+        if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
             raise
-        ids = [i for at in range(0, len(text), PIECE) for i in encoding.encode_ordinary(text[at:at + PIECE])]
+        ids = _around_runs(encoding, text)
     return np.cumsum(size[np.asarray(ids, np.int64)]) if ids else np.zeros(0, np.int64)
 
 
