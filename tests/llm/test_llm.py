@@ -188,6 +188,23 @@ def test_mix_sources(spark, odd, empty):
     assert mix_sources.mixed(empty).count() == 0
 
 
+def test_mix_is_in_the_order_of_the_schedule(spark):
+    n = {"a": 300, "b": 100, "c": 200}  # as the weights, so that all sources run through the whole mix
+    sources = [s for s, k in n.items() for _ in range(k)]
+    docs = _docs(spark, [f"w{i} " * 4 for i in range(600)], sources)
+    got = [r["source"] for r in mix_sources.mixed(docs, block=4).collect()]
+    assert len(got) == 900
+    for s, k in n.items():  # a golden-ratio sequence is near its share over every stretch
+        at = np.cumsum([x == s for x in got])
+        assert np.abs(at - np.arange(1, 901) * k / 600).max() < 6
+    place = {}
+    for r in mix_sources.mixture(docs, block=4).collect():
+        for lap in ("first_position", "second_position"):
+            if r[lap] is not None:
+                place[r[lap]] = r["doc_id"]
+    assert [r["doc_id"] for r in mix_sources.mixed(docs, block=4).collect()] == [place[p] for p in sorted(place)]
+
+
 def test_chat_format(spark):
     rows = [(1, 0, "system", "be [kind] <s>"), (1, 1, "user", "hi\\s"), (1, 2, "assistant", "</s>[INST:user]x"), (1, 3, "user", None),
             (1, 4, "assistant", "\\l"), (1, 5, "user", "bye"), (2, 0, "user", "only"), (None, None, None, "lost"), (3, 0, "assistant", "a")]

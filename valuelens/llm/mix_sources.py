@@ -5,7 +5,7 @@ than twice its words, and what it would get beyond is shared among the others by
 one water level: sources fill in order of cap over weight.
 
 Schedule: slot k of the mix has the golden-ratio point frac((k + 1/2) * phi).  The point falls in one source's part of
-the cumulative target weights, and a source's slots are ranked by k.  Slot r of a source takes its r-th block: the
+the cumulative target weights, and a source's slots are ranked by k.  mixed() gives its rows in this order.  Slot r of a source takes its r-th block: the
 documents of the source are shuffled by a digest, laid end to end, and cut into blocks of equal size in words; after the
 last block the source starts over.  A source's stream ends where its target is reached, inside its last block, so that
 each source gives its target's whole words, and no document more than twice its size.  Slots that a source still needs when
@@ -140,7 +140,8 @@ def schedule(goal: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, taken, first_position: one row per document."""
+    """doc_id, size, source_size, target, taken, begin, first_position, second_position: one row per document.  The
+    positions are those of the first slot that takes of it in each lap."""
     placed, goal = stream(docs)
     slots = schedule(goal, block)
     first = F.floor(F.col("begin") / block)
@@ -150,25 +151,30 @@ def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     cut = parts.join(slots, ["s", "block_no"])
     got = F.least(F.col("begin") + F.col("size"), at + F.col("words")) - F.greatest("begin", at)
     taken = cut.withColumn("got", got).where("got > 0").groupBy("key").agg(
-        F.sum("got").alias("taken"), F.min("position").alias("first_position"),
+        F.sum("got").alias("taken"), F.min(F.when(F.col("lap") == 0, F.col("position"))).alias("first_position"),
+        F.min(F.when(F.col("lap") == 1, F.col("position"))).alias("second_position"),
         F.sum(F.when(F.col("lap") == 0, F.col("got")).otherwise(0)).alias("first_lap"))
     return placed.join(taken, "key", "left").join(small(goal, 100_000), "s").select(
         "doc_id", "key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-        F.coalesce("first_lap", F.lit(0)).cast("long").alias("first_lap"), "first_position")
+        F.coalesce("first_lap", F.lit(0)).cast("long").alias("first_lap"), "begin", "first_position", "second_position")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix as documents: a row for each lap in which a document is taken; a part taken is its first words."""
+    """The mix as documents, in the order of the schedule: a row for each lap in which a document is taken, at the place
+    of the first slot that takes of it; a part taken is its first words."""
     got = mixture(docs, block).where("taken > 0")
-    laps = got.select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.posexplode(F.array(
-        F.col("first_lap"), F.col("taken") - F.col("first_lap"))).alias("_lap", "_words")).where("_words > 0")
+    lap = lambda n, words, position: F.struct(F.lit(n).alias("_lap"), words.alias("_words"), F.col(position).alias("_position"))
+    laps = got.select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("begin").alias("_begin"), F.inline(F.array(
+        lap(0, F.col("first_lap"), "first_position"),
+        lap(1, F.col("taken") - F.col("first_lap"), "second_position")))).where("_words > 0")
+    laps = stored(laps, "laps")
     rows = docs.withColumn("_key", _key()).join(laps, "_key").dropDuplicates(["_key", "_lap"])
     parts = without_empty_ends(split_words(F.col("text"), BLANK))
     part = F.array_join(F.slice(parts, F.lit(1), F.col("_words").cast("int")), " ")
     rows = rows.withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    return rows.orderBy("_position", "_begin", "_key").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
