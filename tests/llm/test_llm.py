@@ -205,6 +205,19 @@ def test_mix_is_in_the_order_of_the_schedule(spark):
     assert [r["doc_id"] for r in mix_sources.mixed(docs, block=4).collect()] == [place[p] for p in sorted(place)]
 
 
+def test_a_part_taken_keeps_its_white_space(spark):
+    texts = ["  one\ttwo\n\n three\x0b\x0b", "one  two", "é\n😀 \r\n ß", "a"]
+    rows = [(t, n, t[:[m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)][n - 1]])
+            for t in texts for n in range(1, len(t.split()) + 1)]
+    got = spark.createDataFrame(rows, "text string, n int, want string").select(
+        "want", mix_sources.first_words(F.col("text"), F.col("n")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    docs = _docs(spark, ["\n".join(f"w{i}  x{i}" for i in range(k)) for k in (400, 90, 200)], ["a", "b", "c"])
+    whole = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = mix_sources.mixed(docs).collect()
+    assert all(whole[r["doc_id"]].startswith(r["text"]) for r in out) and any(r["text"] != whole[r["doc_id"]] for r in out)
+
+
 def test_chat_format(spark):
     rows = [(1, 0, "system", "be [kind] <s>"), (1, 1, "user", "hi\\s"), (1, 2, "assistant", "</s>[INST:user]x"), (1, 3, "user", None),
             (1, 4, "assistant", "\\l"), (1, 5, "user", "bye"), (2, 0, "user", "only"), (None, None, None, "lost"), (3, 0, "assistant", "a")]

@@ -35,6 +35,7 @@ CAP = 2
 PHI = 0.6180339887498949
 CELLS = 4096
 CHUNK = 65536
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words_of(text: Column) -> Column:
@@ -44,6 +45,13 @@ def words_of(text: Column) -> Column:
     return F.greatest(F.lit(0), F.size(parts) - first - last).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word, with its white space as it is."""
+    words, gaps = without_empty_ends(split_words(text, BLANK)), split_words(text, WORD)
+    chars = lambda parts: F.length(F.array_join(F.slice(parts, F.lit(1), n), ""))
+    return F.left(text, chars(words) + chars(gaps))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, weight, target): one row per source.  These few rows alone meet in one task."""
     one = Window.orderBy(F.col("source").isNull(), "source")
@@ -161,7 +169,8 @@ def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix as documents, in the order of the schedule: a row for each lap in which a document is taken, at the place
-    of the first slot that takes of it; a part taken is its first words."""
+    of the first slot that takes of it; a part taken is its text up to the
+    end of its last word that is taken."""
     got = mixture(docs, block).where("taken > 0")
     lap = lambda n, words, position: F.struct(F.lit(n).alias("_lap"), words.alias("_words"), F.col(position).alias("_position"))
     laps = got.select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("begin").alias("_begin"), F.inline(F.array(
@@ -169,8 +178,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         lap(1, F.col("taken") - F.col("first_lap"), "second_position")))).where("_words > 0")
     laps = stored(laps, "laps")
     rows = docs.withColumn("_key", _key()).join(laps, "_key").dropDuplicates(["_key", "_lap"])
-    parts = without_empty_ends(split_words(F.col("text"), BLANK))
-    part = F.array_join(F.slice(parts, F.lit(1), F.col("_words").cast("int")), " ")
+    part = first_words(F.col("text"), F.col("_words").cast("int"))
     rows = rows.withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
