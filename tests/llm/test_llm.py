@@ -304,6 +304,20 @@ def test_site_quality(spark, odd, empty, labels):
     assert site_quality.site_quality(empty, labels, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_a_site_of_one_document_keeps_the_prior(spark, labels):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    host = F.when(F.col("doc_id") % 4 == 0, F.lit("large")).otherwise(F.concat(F.lit("h"), F.col("doc_id").cast("string")))
+    got = site_quality.site_quality(docs, labels, host, F.col("lang")).toPandas()
+    mean = got["evidence"].mean()
+    one = got[got["doc_id"] % 4 != 0]
+    assert len(one) > 100 and np.allclose(one["host_prior"], mean) and np.allclose(one["path_prior"], mean)
+    assert np.allclose(one["score"], one["evidence"], atol=1e-4)  # its own evidence does not count twice
+    large = got[got["doc_id"] % 4 == 0]
+    rest = (large["evidence"].sum() - large["evidence"]) / (len(large) - 1)
+    low, high = np.minimum(rest, mean), np.maximum(rest, mean)
+    assert ((large["host_prior"] >= low - 1e-9) & (large["host_prior"] <= high + 1e-9)).all()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     now = docs
