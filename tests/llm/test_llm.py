@@ -235,6 +235,27 @@ def test_chat_format(spark):
     assert chat_format.read_back(chat_format.examples(df.limit(0))).count() == 0
 
 
+def test_a_long_conversation_copies_no_prefixes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(c, int(t), ("user", "assistant", None)[rng.integers(0, 3)], "x<\\" * int(rng.integers(0, 5)))
+            for c in (1, 2, None) for t in rng.integers(0, 12, 30)] + [(1, None, "assistant", "first"), (1, -3, "assistant", "é")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    one = sorted(map(str, chat_format.read_back(chat_format.examples(df)).collect()))
+    monkeypatch.setattr(chat_format, "TURN_BITS", 1)
+    assert sorted(map(str, chat_format.read_back(chat_format.examples(df)).collect())) == one
+    assert sorted(map(str, chat_format.summary(df).collect())) == one
+    n = 40_000  # the prefixes of its 20,000 examples have 25 billion characters
+    turn = F.when(F.col("id") % 2 == 1, "assistant").otherwise("user")
+    long = spark.range(n).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), turn.alias("role"),
+                                 F.lpad(F.col("id").cast("string"), 45, "t").alias("text"))
+    got = chat_format.summary(long).collect()
+    texts = [str(i).rjust(45, "t") for i in range(n)]
+    ends = np.cumsum([len(f"[INST:{('user', 'assistant')[i % 2]}]{t}</s>") for i, t in enumerate(texts)])
+    assert [tuple(r)[1:] for r in got] == [(
+        n, _sha("".join(f"{('user', 'assistant')[i % 2]}\n{t}\n" for i, t in enumerate(texts))), 45 * n // 2,
+        _sha("".join(texts[1::2])), int(ends[1::2].sum()))]
+
+
 def test_token_counts(spark, odd, empty):
     texts = ["héllo wörld\nnext line\n\n", "", None, "no newline", "a" * 3000 + "\n" + " " * 3000]
     for rule in ("first", "last", "most"):
