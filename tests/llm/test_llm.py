@@ -316,6 +316,18 @@ def test_toxicity_learns_and_shares_subwords(spark, odd, empty, labels):
     assert toxicity.score(empty, labels).count() == 0 and toxicity.score(odd, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_curve_sees_texts_of_every_length(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 5)
+    texts = [f"plain{i % 7} words{i % 5} here " * (2000 if i % 2 else 3) + ("horrible thing" if i % 3 == 0 else "") for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    known = []
+    monkeypatch.setattr(toxicity, "curve", lambda w, b, best, n, y, prior, f=toxicity.curve: known.append(n) or f(w, b, best, n, y, prior))
+    assert toxicity.score(_docs(spark, texts), labels).count() == 120
+    aside = [i for i in range(120) if zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(f"aside{i}".encode()) % 3 == 2]
+    assert known[0].tolist() == [-(-len(texts[i].split()) // toxicity.WINDOW) for i in aside]
+    assert max(len(texts[i]) for i in aside) > toxicity.SAMPLE_CHARS
+
+
 def test_site_quality(spark, odd, empty, labels):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = site_quality.site_quality(docs, labels, F.col("source"), F.col("lang")).toPandas()

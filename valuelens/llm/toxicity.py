@@ -8,7 +8,8 @@ one; a logistic curve of that evidence and the number of windows, fitted on docu
 the score.
 
 Training reads a bounded sample: per class the SAMPLE documents with the smallest digest of the id, outside the held-out
-fold, of at most SAMPLE_CHARS characters each.  Scoring reads every whole text.  Only the text is an input of a score.
+fold.  A third of them is kept aside for the curve, with whole texts of every length, read in tasks; of the others, the
+vectors see those of at most SAMPLE_CHARS characters.  Scoring reads every whole text.  Only the text is an input of a score.
 
 Defined results: null, empty and blank texts have no window and get the score of a clean one; labels without a document,
 null labels and repeated labels (the largest counts) are allowed; with fewer than two classes in the sample the score is
@@ -75,17 +76,19 @@ def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int):
-    """(text, label, every class's size) of the training sample; bounded by 2 * rows texts of SAMPLE_CHARS characters."""
+    """(texts and labels of at most 2 * rows documents of SAMPLE_CHARS characters that the vectors are trained on; the
+    documents kept aside for the curve, a third of those chosen, with whole texts of any length; every class's size)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}  # two rows
     chosen = [known.where(F.col("toxic") == c).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)
               for c in (0, 1)]
-    chosen = stored(chosen[0].unionByName(chosen[1]), "training_ids")
+    aside = F.crc32(F.concat(F.lit("aside"), F.col("doc_id").cast("string"))) % 3 == 2
+    chosen = stored(chosen[0].unionByName(chosen[1]).withColumn("aside", aside), "training_ids")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    texts = texts.where((F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0)).dropDuplicates(["doc_id"])
-    got = texts.select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
-    return got["text"].tolist(), got["toxic"].to_numpy(np.float32), sizes
+    got = texts.where(~F.col("aside") & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0)).dropDuplicates(["doc_id"])
+    got = got.select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
+    return got["text"].tolist(), got["toxic"].to_numpy(np.float32), texts.where("aside"), sizes
 
 
 def _windows(texts: list[str]):
@@ -106,21 +109,34 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int], seed: int = 7) -> Model:
-    """Joint training by Adam on whole batches of windows, then the logistic curve on the documents kept aside."""
+def _prior(sizes: dict[int, int]) -> float:
     total = sum(sizes.values())
-    prior = sizes.get(1, 0) / total if total else 0.0
+    return sizes.get(1, 0) / total if total else 0.0
+
+
+def _constant(prior: float) -> Model:
+    return Model(None, 0.0, 0.0, 0.0, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))), 0.0)
+
+
+def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int], seed: int = 7) -> Model:
+    """The vectors from two thirds of the documents, the curve from the others."""
     fold = np.arange(len(labels)) % 3 == 2
     if len(set(labels[fold].tolist())) < 2 or len(set(labels[~fold].tolist())) < 2:
-        flat = float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
-        return Model(None, 0.0, 0.0, 0.0, flat, 0.0)
+        return _constant(_prior(sizes))
+    weight, bias = vectors_of([t for t, f in zip(texts, fold) if not f], labels[~fold], seed)
+    cache: dict[bytes, float] = {}
+    seen = [_evidence(weight, t, cache) or (0.0, 1) for t, f in zip(texts, fold) if f]
+    return curve(weight, bias, *np.array(seen).T, labels[fold], _prior(sizes))
+
+
+def vectors_of(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+    """(weight of each bucket, bias): joint training by Adam on whole batches of windows."""
     win, owner, flat, of_word, counts = _windows(texts)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     offset = np.zeros(2, np.float32)
-    fit = ~fold[owner]
-    used, target = win[fit], labels[owner[fit]]
+    used, target = win, labels[owner]
     real = used >= 0
     # each class weighs the same, whatever its number of windows
     weight = np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum())).astype(np.float32)
@@ -147,16 +163,13 @@ def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int], seed: int
             m += 0.1 * (gr - m)
             v += 0.01 * (gr * gr - v)
             p -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    weight_of = vectors @ (softmax[:, 1] - softmax[:, 0])
-    bias = float(offset[1] - offset[0])
-    word = np.append(np.bincount(of_word, weight_of[flat], n_words) / counts, 0.0)
-    z = word[win].sum(1) / WINDOW
-    best = np.full(len(labels), -np.inf)
-    np.maximum.at(best, owner, z)
-    n_win = np.bincount(owner, minlength=len(labels))
-    mean, deviation = best[fold].mean(), best[fold].std() + 1e-9
-    x = np.stack([(best[fold] - mean) / deviation, np.log(n_win[fold]), np.ones(fold.sum())], 1)
-    y = labels[fold]
+    return (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(offset[1] - offset[0])
+
+
+def curve(weight: np.ndarray, bias: float, best: np.ndarray, n_win: np.ndarray, y: np.ndarray, prior: float) -> Model:
+    """The logistic curve from the most toxic window and the number of windows of documents that the vectors never saw."""
+    mean, deviation = best.mean(), best.std() + 1e-9
+    x = np.stack([(best - mean) / deviation, np.log(n_win), np.ones(len(y))], 1)
     share = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     w = np.zeros(3)
     for _ in range(50):  # Newton, slightly ridged
@@ -164,40 +177,69 @@ def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int], seed: int
         h = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
         w -= np.linalg.solve(h, x.T @ (share * (p - y)) + 1e-2 * w)
     slope = float(w[0] / deviation)
-    clean = float(np.median(best[fold][y == 0]))
-    return Model(weight_of.astype(np.float32), bias, slope, float(w[1]), float(w[2] - slope * mean), clean)
+    return Model(weight, bias, slope, float(w[1]), float(w[2] - slope * mean), float(np.median(best[y == 0])))
+
+
+def _values(weight: np.ndarray, words: list[bytes], cache: dict[bytes, float]) -> list[float]:
+    found = list(map(cache.get, words))
+    if None in found:
+        new = list({w for w, v in zip(words, found) if v is None})
+        bucket, word = bags(new)
+        mean = np.bincount(word, weight[bucket], len(new)) / np.bincount(word, minlength=len(new))
+        known = dict(zip(new, mean.tolist()))
+        if len(cache) >= _CACHE_WORDS:
+            cache.clear()
+        cache.update((w, v) for w, v in known.items() if len(w) <= 64)
+        found = [known[w] if v is None else v for w, v in zip(words, found)]
+    return found
+
+
+def _evidence(weight: np.ndarray, text: str | None, cache: dict[bytes, float]) -> tuple[float, int] | None:
+    """The most toxic window of a whole text and its number of windows; None without words."""
+    words = words_of(text)
+    if not words:
+        return None
+    v = np.zeros(-(-len(words) // WINDOW) * WINDOW)
+    v[:len(words)] = _values(weight, words, cache)
+    sums = v.reshape(-1, WINDOW).sum(1) / WINDOW
+    return float(sums.max()), len(sums)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
+    """The model: vectors trained on the driver on a bounded sample, evidence for the curve computed in tasks."""
+    texts, y, aside, sizes = _sample(docs, labels, rows)
+    if len(set(y.tolist())) < 2:
+        return _constant(_prior(sizes))
+    weight, bias = vectors_of(texts, y)
+
+    def seen(batches):
+        cache: dict[bytes, float] = {}
+        for batch in batches:
+            found = [_evidence(weight, t, cache) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("toxic"), pa.array([f and f[0] for f in found], pa.float64()),
+                 pa.array([f and f[1] for f in found], pa.int64())], names=["doc_id", "toxic", "best", "n"])
+
+    aside = aside.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
+    got = aside.mapInArrow(seen, "doc_id bigint, toxic int, best double, n bigint").where("n IS NOT NULL")
+    got = got.groupBy("doc_id", "toxic").agg(F.max(F.struct("best", "n")).alias("b")).select("doc_id", "toxic", "b.*")
+    got = got.toPandas().sort_values("doc_id")  # a row of four numbers for each of at most 2 * rows documents
+    if got["toxic"].nunique() < 2:
+        return _constant(_prior(sizes))
+    return curve(weight, bias, got["best"].to_numpy(), got["n"].to_numpy(), got["toxic"].to_numpy(float), _prior(sizes))
 
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """doc_id, key, held_out, score, predicted: one row per row of docs."""
-    model = train(*_sample(docs, labels, rows))
+    model = fitted(docs, labels, rows)
 
     def scored(batches):
         cache: dict[bytes, float] = {}
-
-        def values(words: list[bytes]) -> list[float]:
-            found = list(map(cache.get, words))
-            if None in found:
-                new = list({w for w, v in zip(words, found) if v is None})
-                bucket, word = bags(new)
-                mean = np.bincount(word, model.weight[bucket], len(new)) / np.bincount(word, minlength=len(new))
-                known = dict(zip(new, mean.tolist()))
-                if len(cache) >= _CACHE_WORDS:
-                    cache.clear()
-                cache.update((w, v) for w, v in known.items() if len(w) <= 64)
-                found = [known[w] if v is None else v for w, v in zip(words, found)]
-            return found
-
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                words = words_of(text) if model.weight is not None else []
-                best, n = model.clean, 1
-                if words:
-                    v = np.zeros(-(-len(words) // WINDOW) * WINDOW)
-                    v[:len(words)] = values(words)
-                    sums = v.reshape(-1, WINDOW).sum(1) / WINDOW
-                    best, n = float(sums.max()), len(sums)
+                found = _evidence(model.weight, text, cache) if model.weight is not None else None
+                best, n = found or (model.clean, 1)
                 out.append(float(_sigmoid(model.slope * best + model.per_log * np.log(n) + model.shift)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(out, pa.float64())],
                                              names=["doc_id", "key", "score"])
