@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (chat_format, decontaminate, exact_dedup, mix_sources, near_dup, personal_data, shard_table,
-               site_quality, token_counts, toxicity)
+from . import (chat_format, decontaminate, exact_dedup, lm_trie, merkle, mix_sources, near_dup, period_runs, personal_data,
+               shard_table, site_quality, token_counts, toxicity)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_chat_format": chat_format.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_period_runs": period_runs.query,
+    "op12_lm_trie": lm_trie.query,
+    "op13_merkle": merkle.query,
 }
 
 ORACLE = {
@@ -24,4 +27,5 @@ ORACLE = {
     "op7_mix_sources": mix_sources.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
