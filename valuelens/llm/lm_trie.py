@@ -5,8 +5,9 @@ that follow x, p(w | u v) = c(u v w) / (c(u v) + t(u v)) + b(u v) * p(w | v), b(
 seen), p(w | v) alike over p(w) = (c(w) + 1) / (N + V + 1).  A text begins after two begin marks and closes with one end.
 
 1. Texts are cut into words once, in blocks of whole texts (stored: numbers of words local to the block, its vocabulary).
-2. A grouped count over the vocabularies gives c(w).  Words are numbered by falling count.  So the count of a number is a
-   step function of at most sqrt(2 N) steps, the model's first level, small enough for every task (54 MB at 10**13 words).
+2. Vocabularies are dealt to buckets by word, a word once per block, and counted there.  Words are numbered by falling
+   count: running sums over the buckets of each count.  So the count of a number is a step function of at most sqrt(2 N)
+   steps, the model's first level, small enough for every task (54 MB at 10**13 words).
 3. Every block sends its trigrams (v, u, w, text) to the shard of v, the middle word, packed and ordered.  A shard thus has
    all that p(w | u v) needs.  A word v with more than SHARD_WORDS occurrences is dealt to several shards by u, and each
    gets the block's distinct pairs (v, w).
@@ -28,11 +29,13 @@ an empty result; without training texts every score is that of p(w) = 1.
 from __future__ import annotations
 
 import mmap
+import zlib
 from collections import defaultdict
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,7 +47,7 @@ from .common import ship, stored
 ship(__name__)
 
 END = b"\n"  # no word holds a line break
-BLOCK_WORDS = 400_000  # below 2**20: a text's number in its block has 20 bits
+BLOCK_WORDS = 1_000_000  # below 2**20: a text's number in its block has 20 bits
 SHARD_WORDS = 2_000_000
 GRID = 4096  # steps of the quantiser per decade
 NANO = 1e9
@@ -57,12 +60,13 @@ _64 = _U(64)
 def _pack_low(x: np.ndarray, bits: int) -> np.ndarray:
     """The low bits of x, one after the other in 64-bit words."""
     out = np.zeros(len(x) * bits // 64 + 2, _U)
-    if bits:
+    if bits and len(x):
         at = np.arange(len(x), dtype=_U) * _U(bits)
         low, shift, word = x & _U((1 << bits) - 1), at & _U(63), (at >> _U(6)).astype(np.int64)
-        np.bitwise_or.at(out, word, low << shift)
-        over = shift + _U(bits) > _64
-        np.bitwise_or.at(out, word[over] + 1, low[over] >> (_64 - shift[over]))
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.add.reduceat(low << shift, first)  # bits do not overlap, so the sum is the union
+        over = shift + _U(bits) > _64  # at most one of each word
+        out[word[over] + 1] |= low[over] >> (_64 - shift[over])
     return out
 
 
@@ -122,18 +126,36 @@ class EliasFano:
         most = 64 * len(self.high) - self.n - 1  # zeros
         inside = high <= most
         high = np.minimum(high, most)
-        lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
-        hi = end = self._select(high, False) - high
-        want = x & ((1 << self.bits) - 1)
-        while (lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = (lo < hi) & (self._lows(np.minimum(mid, max(self.n - 1, 0))) < want)
-            hi = np.where((lo < hi) & ~less, mid, hi)
-            lo = np.where(less, mid + 1, lo)
+        before = np.full(len(x), -1)
+        later = np.flatnonzero(high)
+        before[later] = self._select(high[later] - 1, False)
+        lo, end = before + 1 - high, self._zero_after(before) - high
+        want, hi = x & ((1 << self.bits) - 1), end.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self._lows(mid) < want[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
         hit = inside & (lo < end)
         hit[hit] = self._lows(lo[hit]) == want[hit]
         return lo, hit
 
+    def _zero_after(self, at: np.ndarray) -> np.ndarray:
+        """Place of the first zero bit after a place; one follows the last element."""
+        at = at + 1
+        k = at >> 6
+        zeros = ~self.high[k] >> (at & 63).astype(_U)
+        out = at + np.bitwise_count((zeros & -zeros) - _U(1))
+        rest = np.flatnonzero(zeros == 0)
+        while len(rest):
+            k[rest] += 1
+            zeros = ~self.high[k[rest]]
+            out[rest] = 64 * k[rest] + np.bitwise_count((zeros & -zeros) - _U(1))
+            rest = rest[zeros == 0]
+        return out
+
 
 # ---- the trie of a shard --------------------------------------------------------------------------------------------
 
@@ -192,23 +214,30 @@ class Trie:
             at += 8 + 2 * n + -2 * n % 8
         self.back2, self.part2, self.back3, self.part3 = codes
 
-    def probability(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """p(w | u v), where single is p(w)."""
+    def probability(self, v: np.ndarray, u: np.ndarray, own: np.ndarray, w: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """p(w | u v) for contexts (v, u), ordered by v, and words w of context number own; single is p(w)."""
         p = single.astype(np.float64)
-        root, known = self.roots.find(v)
-        some = np.flatnonzero(known)
+        first = np.flatnonzero(np.diff(v, prepend=-1))
+        root, known = (np.repeat(x, np.diff(first, append=len(v))) for x in self.roots.find(v[first]))
+        context, seen = np.zeros(len(v), np.int64), known.copy()
+        context[known], seen[known] = self.contexts.find(root[known] * self.words + u[known])
+        some = np.flatnonzero(known[own])
         if not len(some):
             return p
-        root, u, w = root[some], u[some], w[some]
-        pair, seen = self.pairs.find(root * self.words + w)
-        q = p[some] * _probability(self.back2[root])
-        q[seen] += _probability(self.part2[pair[seen]])
-        context, known = self.contexts.find(root * self.words + u)
-        q[known] *= _probability(self.back3[context[known]])
-        both = np.flatnonzero(known & seen)
-        context, root, pair = context[both], root[both], pair[both]
-        triple, seen = self.triples.find(self.base.get(context) + pair - self.begin.get(root))
-        q[both[seen]] += _probability(self.part3[triple[seen]])
+        own, w = own[some], w[some]
+        root = root[own]
+        pair, old = self.pairs.find(root * self.words + w)
+        q = p[some] * _probability(self.back2)[root]
+        q[old] += _probability(self.part2[pair[old]])
+        inner = seen[own]
+        q[inner] *= _probability(self.back3)[context[own[inner]]]
+        both = np.flatnonzero(inner & old)
+        where = np.flatnonzero(seen)
+        base = np.zeros(len(seen), np.int64)
+        base[where] = self.base.get(context[where])
+        begin = self.begin.get(np.arange(self.roots.n))
+        triple, old = self.triples.find(base[own[both]] + pair[both] - begin[root[both]])
+        q[both[old]] += _probability(self.part3[triple[old]])
         p[some] = q
         return p
 
@@ -226,15 +255,15 @@ def _unpacked(raw: bytes, columns: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view(np.int32).ravel() for p in planes]
 
 
-_BLOCKS = "block bigint, doc_id array<bigint>, held array<boolean>, size binary, tokens binary, word array<binary>, many array<bigint>"
+_BLOCKS = "block bigint, doc_id array<bigint>, held array<boolean>, size binary, tokens binary, tokens_n bigint, vocabulary int, word binary, many binary"
 
 
 def _blocks(docs: DataFrame, held) -> DataFrame:
     """Whole texts in blocks of about BLOCK_WORDS words, those that train first: ids, sizes in tokens, tokens as numbers
     of the block's vocabulary, and how often each word of it is in training texts."""
     names = [c.split()[0] for c in _BLOCKS.split(", ")]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.list_(pa.binary()),
-             pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64(), pa.int32(),
+             pa.binary(), pa.binary()]
 
     def cut(batches):
         number, rows, n = count(TaskContext.get().partitionId() << 20), [], 0
@@ -247,7 +276,7 @@ def _blocks(docs: DataFrame, held) -> DataFrame:
             training = sum(len(t) for t, r in zip(tokens, rows) if not r[1])
             many = np.bincount(flat[:training], minlength=len(vocabulary))
             cols = [next(number), [r[0] for r in rows], [r[1] for r in rows], _packed(np.array([len(t) for t in tokens])),
-                    _packed(flat), list(vocabulary), many]
+                    _packed(flat), len(flat), len(vocabulary), zstandard.compress(b" ".join(vocabulary), 3), _packed(many)]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds)], names=names)
 
         for batch in batches:
@@ -267,14 +296,66 @@ def _blocks(docs: DataFrame, held) -> DataFrame:
     return cols.mapInArrow(cut, _BLOCKS)
 
 
-def _numbered(words: DataFrame) -> DataFrame:
-    """(word, c, id): numbers from 0 by falling count, over ranges of the order."""
-    ranges = stored(words.repartitionByRange(F.desc("c"), "word").withColumn("part", F.spark_partition_id()), "word_ranges")
-    sizes = ranges.groupBy("part").agg(F.count("*").alias("here"))  # a row per range
-    sizes = sizes.select("part", (F.sum("here").over(Window.orderBy("part")) - F.col("here")).alias("before"))
-    at = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("c"), "word")) - 1
-    out = ranges.withColumn("at", at).join(F.broadcast(sizes), "part")
-    return stored(out.select("word", "c", (F.col("at") + F.col("before")).cast("int").alias("id")), "words")
+def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Of every block, per bucket its words (bytes joined by blanks), their local numbers and training counts."""
+    def deal(batches):
+        for rows in batches:
+            for block, raw, many in zip(*(rows.column(c).to_pylist() for c in ("block", "word", "many"))):
+                words, many = zstandard.decompress(raw).split(b" "), _unpacked(many, 1)[0]
+                bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()),
+                    pa.array([zstandard.compress(b" ".join([words[i] for i in p.tolist()]), 3) for p in parts], pa.binary()),
+                    pa.array([_packed(p, many[p]) for p in parts], pa.binary())], names=["bucket", "block", "word", "data"])
+
+    return blocks.select("block", "word", "many").mapInArrow(deal, "bucket bigint, block bigint, word binary, data binary")
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """Of one bucket: the words in each block as (local number, number in the bucket by falling count), and how many words
+    have which count, falling.  Words outside training are left out."""
+    number, seen, block, local = defaultdict(count().__next__), [], [], []
+    total: list[np.ndarray] = []
+    for b, raw, data in zip(*(rows.column(c).to_pylist() for c in ("block", "word", "data"))):
+        here, many = _unpacked(data, 2)
+        seen.append(np.fromiter(map(number.__getitem__, zstandard.decompress(raw).split(b" ")), np.int64, len(here)))
+        total.append(many)
+        block.append(b)
+        local.append(here)
+    c = np.bincount(np.concatenate(seen), np.concatenate(total), len(number)).astype(np.int64)
+    order = np.argsort(-c, kind="stable")
+    place = np.empty(len(c), np.int64)
+    place[order] = np.arange(len(c))
+    many, n = np.unique(c[c > 0], return_counts=True)
+    keep = [c[s] > 0 for s in seen]
+    return pa.table({"bucket": pa.array([rows.column("bucket")[0].as_py()], pa.int64()), "block": pa.array([block], pa.list_(pa.int64())),
+                     "data": pa.array([[_packed(x[k], place[s[k]]) for x, s, k in zip(local, seen, keep)]], pa.list_(pa.binary())),
+                     "c": pa.array([many[::-1]], pa.list_(pa.int64())), "n": pa.array([n[::-1]], pa.list_(pa.int64()))})
+
+
+def _known(words: DataFrame, steps: DataFrame) -> DataFrame:
+    """block, known: (local number, id) of its words that training has, packed by bucket; `steps` has the first id of every count."""
+    counts = words.select("bucket", F.explode(F.arrays_zip("c", "n")).alias("x")).select("bucket", "x.c", "x.n")
+    before = F.sum("n").over(Window.partitionBy("c").orderBy("bucket")) - F.col("n")
+    starts = counts.withColumn("before", before).join(steps.select("c", "first"), "c").groupBy("bucket").agg(
+        F.sort_array(F.collect_list(F.struct("c", (F.col("first") + F.col("before")).alias("id"))), False).alias("start"))
+
+    def number(batches):
+        for rows in batches:
+            for blocks, data, n, start in zip(*(rows.column(c).to_pylist() for c in ("block", "data", "n", "start"))):
+                n, start = np.array(n, np.int64), np.array([x["id"] for x in start], np.int64)
+                ids = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+                out = []
+                for raw in data:
+                    local, place = _unpacked(raw, 2)
+                    out.append(_packed(local, ids[place]))
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(out, pa.binary())], names=["block", "known"])
+
+    rows = words.where(F.size("c") > 0).select("bucket", "block", "data", "n").join(starts, "bucket")
+    return rows.select("block", "data", "n", "start").mapInArrow(number, "block bigint, known binary").groupBy("block").agg(
+        F.collect_list("known").alias("known"))
 
 
 def _scatter(v: np.ndarray, salt: np.ndarray, shards: int) -> np.ndarray:
@@ -288,6 +369,7 @@ class Words:
     training and for the begin mark."""
 
     def __init__(self, first: list[int], many: list[int], n: int, v: int, texts: int):
+        self.parts = (first, many, n, v, texts)
         self.first, self.many = np.array(first, np.int64), np.array(many, np.int64)
         self.n, self.v, self.texts, self.unknown, self.begin = n, v, texts, v, v + 1
 
@@ -312,7 +394,7 @@ _SENT = "kind int, block bigint, shard bigint, training int, data binary, row bi
 def _sent(blocks: DataFrame, words: Words, shards: int) -> DataFrame:
     """Of every block: kind 0, per shard the pairs of its salted middle words; kind 1, per shard the trigrams (v, u, w,
     text), `training` the number of texts that train; kind 2, a row per text with its base score."""
-    shared = blocks.sparkSession.sparkContext.broadcast(words)
+    shared = blocks.sparkSession.sparkContext.broadcast(words.parts)
     names = [c.split()[0] for c in _SENT.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(),
              pa.int64(), pa.int64(), pa.float64()]
@@ -328,28 +410,31 @@ def _sent(blocks: DataFrame, words: Words, shards: int) -> DataFrame:
         for at in range(0, len(parts), 32):
             some = parts[at:at + 32]
             yield batch(len(some), kind=[kind] * len(some), block=[block] * len(some), shard=[int(shard[p[0]]) for p in some],
-                        training=[training] * len(some), data=[_packed(*(c[p] for c in cols)) for p in some])
+                        training=[training] * len(some),
+                        data=[_packed(np.diff(cols[0][p], prepend=0), *(c[p] for c in cols[1:])) for p in some])
 
     def send(batches):
-        level = shared.value
+        level = Words(*shared.value)
         for rows in batches:
-            for row in rows.to_pylist():
+            known = rows.column("known")
+            for i, row in enumerate(rows.drop_columns(["known"]).to_pylist()):
                 ids = np.full(row["vocabulary"], level.unknown, np.int64)
-                for x in row["known"] or ():
-                    ids[x["local"]] = x["id"]
+                for raw in known[i].as_py() or ():
+                    local, number = _unpacked(raw, 2)
+                    ids[local] = number
                 size, tokens = _unpacked(row["size"], 1)[0].astype(np.int64), ids[_unpacked(row["tokens"], 1)[0]]
                 start = np.cumsum(size) - size
                 c = level.counts(tokens)
                 base = np.log10((c + 1) / (level.n + level.v + 1))
                 n = len(size)
-                yield batch(n, kind=[2] * n, row=(row["block"] << 20) + np.arange(n), doc_id=row["doc_id"],
+                yield batch(n, kind=[2] * n, shard=np.arange(n) % shards, row=(row["block"] << 20) + np.arange(n), doc_id=row["doc_id"],
                             held_out=row["held"], n_tokens=size, n_known=np.add.reduceat((c > 0).astype(np.int64), start),
                             base=np.add.reduceat(base, start))
                 v, u = np.roll(tokens, 1), np.roll(tokens, 2)
                 v[start] = u[start] = level.begin
                 u[start[size > 1] + 1] = level.begin
                 text, training = np.repeat(np.arange(n), size), n - sum(row["held"])
-                order = np.lexsort((tokens, u, v))
+                order = np.lexsort((tokens, v << 32 | u))
                 v, u, w, text = v[order], u[order], tokens[order], text[order]
                 salts = level.salts(v, shards)
                 yield from split(row["block"], 1, _scatter(v, np.where(salts > 1, u % salts, 0), shards), training, v, u, w, text)
@@ -373,27 +458,29 @@ def _shard_scores(rows: pa.Table, words: Words) -> tuple[bytes, np.ndarray, np.n
     pairs, parts = [], []
     for kind, block, training, data in zip(*(rows.column(c).to_pylist() for c in ("kind", "block", "training", "data"))):
         if kind == 0:
-            pairs.append(_unpacked(data, 3))
-        else:
+            v, w, many = _unpacked(data, 3)
+            pairs.append((np.cumsum(v, dtype=np.int64), w, many))
+        elif kind == 1:
             v, u, w, text = _unpacked(data, 4)
-            parts.append((v, u, w, (block << 20) + text.astype(np.int64), text < training))
+            parts.append((np.cumsum(v, dtype=np.int64), u, w, (block << 20) + text.astype(np.int64), text < training))
     size = words.v + 2
     v, u, w, row, train = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
-    context, own = np.unique(v.astype(np.int64) * size + u, return_inverse=True)
+    context, own = np.unique(v * size + u, return_inverse=True)
     triple, at = np.unique(own * size + w, return_inverse=True)
     del own, v, u, w
     c3 = np.bincount(at, train, len(triple)).astype(np.int64)
-    v, u = np.divmod(context[triple // size], size)
-    w = triple % size
+    own, w = np.divmod(triple, size)
+    begin, second = np.divmod(context, size)
+    v, u = begin[own], second[own]
     del context, triple
     # pairs: of salted words as sent, of the others from the triples
     seen = c3 > 0
     cold = seen & (words.salts(v, 1 << 30) == 1)
-    key = [v[cold] * size + w[cold]] + [p[0].astype(np.int64) * size + p[1] for p in pairs]
+    key = [v[cold] * size + w[cold]] + [p[0] * size + p[1] for p in pairs]
     key, where = np.unique(np.concatenate(key), return_inverse=True)
     c2 = np.bincount(where, np.concatenate([c3[cold]] + [p[2] for p in pairs]), len(key)).astype(np.int64)
     raw = build(key // size, key % size, c2, v[seen], u[seen], w[seen], c3[seen], size)
-    p = Trie(raw).probability(v, u, w, words.probability(w))
+    p = Trie(raw).probability(begin, second, own, w, words.probability(w))
     score = np.rint(np.log10(p) * NANO).astype(np.int64)[at]
     order = np.argsort(row, kind="stable")
     edge = np.flatnonzero(np.diff(row[order], prepend=-1))
@@ -404,28 +491,34 @@ def scored(docs: DataFrame, held) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; `held` is true for rows that
     do not train."""
     blocks = stored(_blocks(docs, held), "blocks")
-    local = blocks.select("block", F.posexplode(F.arrays_zip("word", "many")).alias("local", "x")).select(
-        "block", "local", F.col("x.word").alias("word"), F.col("x.many").alias("many"))
-    table = _numbered(local.groupBy("word").agg(F.sum("many").alias("c")).where("c > 0"))
-    steps = table.groupBy("c").agg(F.min("id").alias("id"), F.count("*").alias("n")).orderBy("id").collect()
-    words = Words([r["id"] for r in steps], [r["c"] for r in steps], sum(r["c"] * r["n"] for r in steps),
-                  sum(r["n"] for r in steps), sum(r["c"] for r in table.where(F.col("word") == F.lit(END)).collect()))
+    training = F.size(F.filter("held", lambda x: ~x))
+    tokens, texts = blocks.agg(F.sum("tokens_n"), F.sum(training)).first()
+    buckets = max(1, -(-(tokens or 0) // SHARD_WORDS))
+    table = stored(_dealt(blocks, buckets).groupBy("bucket").applyInArrow(
+        _counted, "bucket bigint, block array<bigint>, data array<binary>, c array<bigint>, n array<bigint>"), "words")
+    counts = table.select(F.explode(F.arrays_zip("c", "n")).alias("x")).groupBy("x.c").agg(F.sum("x.n").alias("n"))
+    first = F.sum("n").over(Window.orderBy(F.desc("c"))) - F.col("n")  # a row per count, at most sqrt(2 N)
+    steps = stored(counts.select("c", "n", first.alias("first")), "steps")
+    level = steps.orderBy("first").collect()
+    words = Words([r["first"] for r in level], [r["c"] for r in level], sum(r["c"] * r["n"] for r in level),
+                  sum(r["n"] for r in level), texts or 0)
     shards = max(1, -(-words.n // SHARD_WORDS))
-    known = local.join(table.select("word", "id"), "word").groupBy("block").agg(
-        F.collect_list(F.struct("local", "id")).alias("known"))
-    ready = blocks.select("block", "doc_id", "held", "size", "tokens", F.size("word").alias("vocabulary")).join(
+    known = _known(table, steps)
+    ready = blocks.select("block", "doc_id", "held", "size", "tokens", "vocabulary").join(
         known, "block", "left")
-    sent = stored(_sent(ready, words, shards), "sent")
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast(words.parts)
+    own = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base"]
 
     def score(rows: pa.Table) -> pa.Table:
-        _, row, part = _shard_scores(rows, shared.value)
-        return pa.table({"row": row, "part": part})
-
-    parts = sent.where("kind < 2").select("shard", "kind", "block", "training", "data").groupBy("shard").applyInArrow(
-        score, "row bigint, part bigint")
-    parts = parts.groupBy("row").agg(F.sum("part").alias("part"))
-    out = sent.where("kind = 2").join(parts, "row")
+        _, row, part = _shard_scores(rows, Words(*shared.value))
+        texts = rows.filter(pc.equal(rows.column("kind"), 2)).select(own)
+        parts = pa.table({"row": row, "part": part})
+        return pa.concat_tables([texts, parts], promote_options="default").select([*own, "part"])
+
+    parts = _sent(ready, words, shards).groupBy("shard").applyInArrow(score, ", ".join(
+        c for c in _SENT.split(", ") if c.split()[0] in own) + ", part bigint")
+    # one of a text's rows carries its own columns, the others parts of its score
+    out = parts.groupBy("row").agg(F.sum("part").alias("part"), *[F.max(c).alias(c) for c in own[1:]])
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words.n).cast("long").alias("train_tokens"),
                       F.col("base").alias("base_score"), (F.col("part") / NANO).alias("score"))
 
