@@ -47,8 +47,8 @@ from .common import ship, stored
 ship(__name__)
 
 END = b"\n"  # no word holds a line break
-BLOCK_WORDS = 1_000_000  # below 2**20: a text's number in its block has 20 bits
-SHARD_WORDS = 2_000_000
+BLOCK_WORDS = 800_000  # below 2**20: a text's number in its block has 20 bits
+SHARD_WORDS = 1_000_000
 GRID = 4096  # steps of the quantiser per decade
 NANO = 1e9
 _U = np.uint64
