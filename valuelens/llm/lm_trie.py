@@ -121,16 +121,15 @@ class EliasFano:
         return ((self._select(i, True) - i) << self.bits) | self._lows(i)
 
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the first element >= x in the part with its high bits (or that part's end), and whether it is x."""
+        """Whether x is there, and where: the first element >= x of those with its high bits, if there is one."""
         high = x >> self.bits
         most = 64 * len(self.high) - self.n - 1  # zeros
         inside = high <= most
         high = np.minimum(high, most)
-        before = np.full(len(x), -1)
-        later = np.flatnonzero(high)
-        before[later] = self._select(high[later] - 1, False)
+        before = self._select(np.maximum(high - 1, 0), False)
+        before[high == 0] = -1
         lo, end = before + 1 - high, self._zero_after(before) - high
-        want, hi = x & ((1 << self.bits) - 1), end.copy()
+        want, hi = x & ((1 << self.bits) - 1), end - 1
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
@@ -246,7 +245,7 @@ class Trie:
 
 def _packed(*columns: np.ndarray) -> bytes:
     """Columns of equal length, each by its byte planes, compressed."""
-    planes = [np.ascontiguousarray(c, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns]
     return zstandard.compress(b"".join(planes), 1)
 
 
@@ -387,7 +386,7 @@ class Words:
         return np.where(v == self.unknown, shards, np.clip(-(-c // SHARD_WORDS), 1, shards))
 
 
-_SENT = "kind int, block bigint, shard bigint, training int, data binary, row bigint, doc_id bigint, held_out boolean, " \
+_SENT = "kind int, block bigint, shard bigint, training int, data binary, text bigint, doc_id bigint, held_out boolean, " \
         "n_tokens bigint, n_known bigint, base double"
 
 
@@ -404,7 +403,7 @@ def _sent(blocks: DataFrame, words: Words, shards: int) -> DataFrame:
                                            for c, k in zip(names, kinds)], names=names)
 
     def split(block: int, kind: int, shard: np.ndarray, training: int, *cols: np.ndarray):
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
         edge = np.flatnonzero(np.diff(shard[order], prepend=-1))
         parts = np.split(order, edge[1:]) if len(order) else []
         for at in range(0, len(parts), 32):
@@ -427,14 +426,14 @@ def _sent(blocks: DataFrame, words: Words, shards: int) -> DataFrame:
                 c = level.counts(tokens)
                 base = np.log10((c + 1) / (level.n + level.v + 1))
                 n = len(size)
-                yield batch(n, kind=[2] * n, shard=np.arange(n) % shards, row=(row["block"] << 20) + np.arange(n), doc_id=row["doc_id"],
+                yield batch(n, kind=[2] * n, block=[row["block"]] * n, shard=np.arange(n) % shards, text=np.arange(n), doc_id=row["doc_id"],
                             held_out=row["held"], n_tokens=size, n_known=np.add.reduceat((c > 0).astype(np.int64), start),
                             base=np.add.reduceat(base, start))
                 v, u = np.roll(tokens, 1), np.roll(tokens, 2)
                 v[start] = u[start] = level.begin
                 u[start[size > 1] + 1] = level.begin
                 text, training = np.repeat(np.arange(n), size), n - sum(row["held"])
-                order = np.lexsort((tokens, v << 32 | u))
+                order = np.argsort(v << 32 | u)
                 v, u, w, text = v[order], u[order], tokens[order], text[order]
                 salts = level.salts(v, shards)
                 yield from split(row["block"], 1, _scatter(v, np.where(salts > 1, u % salts, 0), shards), training, v, u, w, text)
@@ -453,18 +452,20 @@ def _sent(blocks: DataFrame, words: Words, shards: int) -> DataFrame:
     return blocks.mapInArrow(send, _SENT)
 
 
-def _shard_scores(rows: pa.Table, words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The trie of one shard and (row, billionths of log10 probability) of its texts' trigrams."""
-    pairs, parts = [], []
+def _shard_scores(rows: pa.Table, words: Words) -> tuple[bytes, list[int], list[np.ndarray], list[np.ndarray]]:
+    """The trie of one shard and, for each block, the texts in it and their billionths of log10 probability."""
+    pairs, parts, blocks = [], [], []
     for kind, block, training, data in zip(*(rows.column(c).to_pylist() for c in ("kind", "block", "training", "data"))):
         if kind == 0:
             v, w, many = _unpacked(data, 3)
             pairs.append((np.cumsum(v, dtype=np.int64), w, many))
         elif kind == 1:
             v, u, w, text = _unpacked(data, 4)
-            parts.append((np.cumsum(v, dtype=np.int64), u, w, (block << 20) + text.astype(np.int64), text < training))
+            parts.append((np.cumsum(v, dtype=np.int64), u, w, text < training))
+            blocks.append((block, text))
     size = words.v + 2
-    v, u, w, row, train = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
+    v, u, w, train = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+    del parts
     context, own = np.unique(v * size + u, return_inverse=True)
     triple, at = np.unique(own * size + w, return_inverse=True)
     del own, v, u, w
@@ -481,10 +482,16 @@ def _shard_scores(rows: pa.Table, words: Words) -> tuple[bytes, np.ndarray, np.n
     c2 = np.bincount(where, np.concatenate([c3[cold]] + [p[2] for p in pairs]), len(key)).astype(np.int64)
     raw = build(key // size, key % size, c2, v[seen], u[seen], w[seen], c3[seen], size)
     p = Trie(raw).probability(begin, second, own, w, words.probability(w))
-    score = np.rint(np.log10(p) * NANO).astype(np.int64)[at]
-    order = np.argsort(row, kind="stable")
-    edge = np.flatnonzero(np.diff(row[order], prepend=-1))
-    return raw, row[order][edge], np.add.reduceat(score[order], edge) if len(edge) else score
+    score, done, texts, sums = np.rint(np.log10(p) * NANO)[at], 0, [], []
+    for _, text in blocks:
+        total = np.bincount(text, score[done:done + len(text)])  # whole numbers, exact in doubles
+        texts.append(np.unique(text))
+        sums.append(total[texts[-1]].astype(np.int64))
+        done += len(text)
+    return raw, [b for b, _ in blocks], texts, sums
+
+
+_OWN = ["text", "doc_id", "held_out", "n_tokens", "n_known", "base"]
 
 
 def scored(docs: DataFrame, held) -> DataFrame:
@@ -507,20 +514,29 @@ def scored(docs: DataFrame, held) -> DataFrame:
     ready = blocks.select("block", "doc_id", "held", "size", "tokens", "vocabulary").join(
         known, "block", "left")
     shared = docs.sparkSession.sparkContext.broadcast(words.parts)
-    own = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base"]
 
     def score(rows: pa.Table) -> pa.Table:
-        _, row, part = _shard_scores(rows, Words(*shared.value))
-        texts = rows.filter(pc.equal(rows.column("kind"), 2)).select(own)
-        parts = pa.table({"row": row, "part": part})
-        return pa.concat_tables([texts, parts], promote_options="default").select([*own, "part"])
-
-    parts = _sent(ready, words, shards).groupBy("shard").applyInArrow(score, ", ".join(
-        c for c in _SENT.split(", ") if c.split()[0] in own) + ", part bigint")
-    # one of a text's rows carries its own columns, the others parts of its score
-    out = parts.groupBy("row").agg(F.sum("part").alias("part"), *[F.max(c).alias(c) for c in own[1:]])
+        _, block, texts, sums = _shard_scores(rows, Words(*shared.value))
+        parts = [_packed(t, s >> 32, s) for t, s in zip(texts, sums)]
+        parts = pa.table({"block": pa.array(block, pa.int64()), "part": pa.array(parts, pa.binary())})
+        own = rows.filter(pc.equal(rows.column("kind"), 2)).select(["block", *_OWN])
+        return pa.concat_tables([own, parts], promote_options="default").select(["block", *_OWN, "part"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        """All of one block: its texts' rows, and the parts of their scores from the shards."""
+        texts = rows.filter(pc.is_null(rows.column("part")))
+        total = np.zeros(len(texts), np.int64)
+        for raw in pc.drop_null(rows.column("part")).to_pylist():
+            text, high, low = _unpacked(raw, 3)
+            total[text] += (high.astype(np.int64) << 32) + low.view(np.uint32)
+        place = texts.column("text").to_numpy()
+        return texts.select(_OWN).append_column("score", pa.array(total[place] / NANO, pa.float64()))
+
+    own = ", ".join(c for c in _SENT.split(", ") if c.split()[0] in _OWN)
+    parts = _sent(ready, words, shards).groupBy("shard").applyInArrow(score, f"block bigint, {own}, part binary")
+    out = parts.groupBy("block").applyInArrow(add, f"{own}, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words.n).cast("long").alias("train_tokens"),
-                      F.col("base").alias("base_score"), (F.col("part") / NANO).alias("score"))
+                      F.col("base").alias("base_score"), "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
