@@ -213,32 +213,37 @@ class Trie:
             at += 8 + 2 * n + -2 * n % 8
         self.back2, self.part2, self.back3, self.part3 = codes
 
-    def probability(self, v: np.ndarray, u: np.ndarray, own: np.ndarray, w: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """p(w | u v) for contexts (v, u), ordered by v, and words w of context number own; single is p(w)."""
-        p = single.astype(np.float64)
+    def _root(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(np.diff(v, prepend=-1))
-        root, known = (np.repeat(x, np.diff(first, append=len(v))) for x in self.roots.find(v[first]))
+        root, known = self.roots.find(v[first])
+        size = np.diff(first, append=len(v))
+        return np.repeat(root, size), np.repeat(known, size)
+
+    def probability(self, v: np.ndarray, u: np.ndarray, own: np.ndarray, v2: np.ndarray, w2: np.ndarray,
+                    own2: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """p(w | u v) of triples: number own of the distinct contexts (v, u) and number own2 of the distinct pairs
+        (v2, w2), both in ascending order; single is p(w) of the pairs."""
+        root, known = self._root(v)
         context, seen = np.zeros(len(v), np.int64), known.copy()
         context[known], seen[known] = self.contexts.find(root[known] * self.words + u[known])
-        some = np.flatnonzero(known[own])
-        if not len(some):
-            return p
-        own, w = own[some], w[some]
-        root = root[own]
-        pair, old = self.pairs.find(root * self.words + w)
-        q = p[some] * _probability(self.back2)[root]
-        q[old] += _probability(self.part2[pair[old]])
+        root2, known = self._root(v2)
+        pair, old = np.zeros(len(v2), np.int64), known.copy()
+        pair[known], old[known] = self.pairs.find(root2[known] * self.words + w2[known])
+        q = single.astype(np.float64)
+        q[known] *= _probability(self.back2)[root2[known]]
+        q[old] += _probability(self.part2)[pair[old]]
+        q, old = q[own2], old[own2]
         inner = seen[own]
         q[inner] *= _probability(self.back3)[context[own[inner]]]
         both = np.flatnonzero(inner & old)
         where = np.flatnonzero(seen)
         base = np.zeros(len(seen), np.int64)
         base[where] = self.base.get(context[where])
-        begin = self.begin.get(np.arange(self.roots.n))
-        triple, old = self.triples.find(base[own[both]] + pair[both] - begin[root[both]])
-        q[both[old]] += _probability(self.part3[triple[old]])
-        p[some] = q
-        return p
+        if len(both):
+            pair -= self.begin.get(np.arange(self.roots.n))[np.minimum(root2, self.roots.n - 1)]
+        triple, old = self.triples.find(base[own[both]] + pair[own2[both]])
+        q[both[old]] += _probability(self.part3)[triple[old]]
+        return q
 
 
 # ---- blocks of texts ------------------------------------------------------------------------------------------------
@@ -476,12 +481,15 @@ def _shard_scores(rows: pa.Table, words: Words) -> tuple[bytes, list[int], list[
     del context, triple
     # pairs: of salted words as sent, of the others from the triples
     seen = c3 > 0
-    cold = seen & (words.salts(v, 1 << 30) == 1)
-    key = [v[cold] * size + w[cold]] + [p[0] * size + p[1] for p in pairs]
-    key, where = np.unique(np.concatenate(key), return_inverse=True)
-    c2 = np.bincount(where, np.concatenate([c3[cold]] + [p[2] for p in pairs]), len(key)).astype(np.int64)
+    asked, own2 = np.unique(v * size + w, return_inverse=True)
+    v2, w2 = np.divmod(asked, size)
+    c2 = np.bincount(own2, c3, len(asked)).astype(np.int64)
+    cold = (c2 > 0) & (words.salts(v2, 1 << 30) == 1)
+    key = np.concatenate([asked[cold]] + [p[0] * size + p[1] for p in pairs])
+    key, where = np.unique(key, return_inverse=True)
+    c2 = np.bincount(where, np.concatenate([c2[cold]] + [p[2] for p in pairs]), len(key)).astype(np.int64)
     raw = build(key // size, key % size, c2, v[seen], u[seen], w[seen], c3[seen], size)
-    p = Trie(raw).probability(begin, second, own, w, words.probability(w))
+    p = Trie(raw).probability(begin, second, own, v2, w2, own2, words.probability(w2))
     score, done, texts, sums = np.rint(np.log10(p) * NANO)[at], 0, [], []
     for _, text in blocks:
         total = np.bincount(text, score[done:done + len(text)])  # whole numbers, exact in doubles
