@@ -110,9 +110,11 @@ def test_personal_data(spark, odd, empty):
     assert personal_data.find(odd).count() == odd.count() and personal_data.find(empty).count() == 0
 
 
-@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
-def test_near_copies_equal_brute_force(spark, words, percent, monkeypatch):
-    monkeypatch.setattr(near_dup, "LARGE", 8)
+@pytest.mark.parametrize("words,percent,large,rounds", [(3, 90, 8, 4), (5, 80, 2, 1), (5, 80, 64, 2)])
+def test_near_copies_equal_brute_force(spark, words, percent, large, rounds, monkeypatch):
+    monkeypatch.setattr(near_dup, "LARGE", large)
+    monkeypatch.setattr(near_dup, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(near_dup, "SALT", 3)
     rng = np.random.default_rng(words)
     texts = []
     for g in range(6):
@@ -123,6 +125,13 @@ def test_near_copies_equal_brute_force(spark, words, percent, monkeypatch):
                 w[j] = f"e{rng.integers(0, 30)}"
             texts.append(" ".join(w))
     texts += ["common passage of some words that many share " + f"t{i} " * 3 for i in range(20)]
+    # almost linked: each differs from a common text, which is missing, in one place of its own; a few in two
+    base = [f"almost{i}" for i in range(90)]
+    for i in range(17):
+        w = list(base)
+        w[5 * i + 2] = f"own{i}"
+        w[88 if i % 6 == 0 else 5 * i + 2] = "last"
+        texts.append(" ".join(w))
     texts += ["", None, "A", "a", "a b", "A  B", texts[0].upper(), "same row"]
     sets = []
     for t in texts:
