@@ -19,10 +19,23 @@ def test_every_line_is_read_once(spark):
         parts = [f"{x[1]} Oak Ave" for x in sorted(lines[k])]
         for n in range(max(1, -(-len(parts) // 3))):
             want[n * derive.PART_STEP + k] = (parts[3 * n:3 * n + 3] + [None] * 3)[:3]
-    whole = derive.appraisals(spark, SMALL, every_line=True)
+    whole = derive.appraisals(spark, SMALL)
     got = whole.select("doc_id", *[f"fields.comp_{i}_address.value" for i in (1, 2, 3)]).collect()
     assert len(got) == len(want) and {r[0]: list(r[1:]) for r in got} == want
     assert sum(v is not None for r in got for v in r[1:]) == sum(len(lines[k]) for k in orders) > 3 * len(orders)
     assert whole.select("file_name").distinct().count() == len(want)
-    first = derive.appraisals(spark, SMALL)
-    assert first.count() == len(orders) and first.exceptAll(whole.where(f"doc_id < {derive.PART_STEP}")).count() == 0
+    owners = derive.document_owners(spark, SMALL)
+    assert sorted(r["doc_id"] for r in owners.collect()) == sorted(want)
+
+
+def test_hot_orders_rank_as_others(spark, monkeypatch):
+    """An order with a third of all lines, and null and repeated line numbers."""
+    rows = [(k, k % 7, 1 + k % 3, 10.0 * (k % 11), k % 5 if k % 13 else None, 1.0 * k) for k in range(400)]
+    rows += [(7, 9000 - 31 * i, i % 4, 1.0 * i, 1 + i % 6 if i % 17 else None, 1.0 * i) for i in range(200)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, "
+                                        "l_linenumber int, l_quantity double")
+    want = derive.order_comps(lines).collect()
+    monkeypatch.setattr(derive, "HOT_ORDER", 50)
+    got = derive.order_comps(lines).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sum(r["n_lines"] for r in got) == len(rows)

@@ -487,9 +487,9 @@ ORACLE["comp_warnings"] = COMP_ALL + (
 # ------------------------------------------------------------------ document comparison
 PAIRS_CTE = """pairs AS (
   SELECT pair_id, doc1, doc2 FROM (
-    SELECT o_orderkey AS pair_id, o_orderkey AS doc2,
-           lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS doc1
-    FROM orders) WHERE doc1 IS NOT NULL)"""
+    SELECT part * 1099511627776 + k AS pair_id, part * 1099511627776 + k AS doc2,
+           lag(part * 1099511627776 + k) OVER (PARTITION BY ck ORDER BY part * 1099511627776 + k) AS doc1
+    FROM ab) WHERE doc1 IS NOT NULL)"""
 
 
 def _cmp_cols() -> str:

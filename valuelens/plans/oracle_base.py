@@ -86,22 +86,23 @@ lc_rank AS (
                             ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn
   FROM lineitem),
 lc AS (
-  SELECT l_orderkey, max(rn) AS nl,
-         max(CASE WHEN rn = 1 THEN l_partkey END) AS p1, max(CASE WHEN rn = 1 THEN l_quantity END) AS q1,
-         max(CASE WHEN rn = 2 THEN l_partkey END) AS p2, max(CASE WHEN rn = 2 THEN l_quantity END) AS q2,
-         max(CASE WHEN rn = 3 THEN l_partkey END) AS p3, max(CASE WHEN rn = 3 THEN l_quantity END) AS q3
-  FROM lc_rank WHERE rn <= 3 GROUP BY l_orderkey)"""
+  SELECT l_orderkey, (rn - 1) // 3 AS part, count(*) AS nl,
+         max(CASE WHEN rn % 3 = 1 THEN l_partkey END) AS p1, max(CASE WHEN rn % 3 = 1 THEN l_quantity END) AS q1,
+         max(CASE WHEN rn % 3 = 2 THEN l_partkey END) AS p2, max(CASE WHEN rn % 3 = 2 THEN l_quantity END) AS q2,
+         max(CASE WHEN rn % 3 = 0 THEN l_partkey END) AS p3, max(CASE WHEN rn % 3 = 0 THEN l_quantity END) AS q3
+  FROM lc_rank GROUP BY l_orderkey, (rn - 1) // 3)"""
 
 APPR_CTE = f"""{COMPS_CTE},
 ab AS (
   SELECT o_orderkey AS k, o_custkey AS ck, o_totalprice AS v, strftime(o_orderdate, '%Y-%m-%d') AS od,
          CAST(800 + 40 * (1 + o_orderkey % 50) AS DOUBLE) AS g,
          CASE WHEN o_custkey % 8 = 0 THEN 2.2{D} WHEN o_custkey % 8 = 1 THEN 1.6{D} ELSE 1.0{D} END AS f,
-         {CP} AS cp,
+         {CP} AS cp, coalesce(part, 0) AS part,
          coalesce(nl, 0) AS n_lines, p1, p2, p3, q1, q2, q3
   FROM orders LEFT JOIN lc ON lc.l_orderkey = orders.o_orderkey),
 appr AS (
-  SELECT k AS doc_id, 'appraisal_' || CAST(k AS VARCHAR) || '.pdf' AS file_name,
+  SELECT part * 1099511627776 + k AS doc_id,
+    'appraisal_' || CAST(k AS VARCHAR) || CASE WHEN part > 0 THEN '_' || CAST(part AS VARCHAR) ELSE '' END || '.pdf' AS file_name,
     {_select_list(APPRAISAL_FIELDS, _appr_fields())}
   FROM ab)"""
 

@@ -1,18 +1,17 @@
 """Document tables derived from the benchmark tables (FIXTURES.md section 2).
 
-The test corpus holds no appraisal text, so every appraisal is derived from one
-order and its first three line items (the comparable sales); loan applications
-are derived from an order and its customer.  The derivation is a Spark job over
-the whole tables, so its cost grows with the data:
-
-* lineitem -> top 3 lines per order: ``row_number`` over ``l_orderkey`` filtered
-  ``<= 3``; Catalyst turns this into a WindowGroupLimit, which also runs *before*
-  the shuffle, so even an order holding a third of all lines ships at most 3 rows
-  per map partition.
-* pivot of the 3 lines: an aggregate on the same key, reusing the window's hash
-  partitioning (no extra exchange).
-* the oracle fixes this derivation, so the registered queries leave out the lines
-  after the third; ``appraisals(..., every_line=True)`` reads all of them.
+The test corpus holds no appraisal text, so appraisals are derived from an order
+and its line items (the comparable sales): one appraisal per three consecutive
+lines, so that every line is read; loan applications are derived from an order
+and its customer.  The derivation is a Spark job over the whole tables, so its
+cost grows with the data:
+
+* lineitem -> rank of a line in its order: ``row_number`` over ``l_orderkey``.
+  Orders of more than HOT_ORDER lines are ranked by range instead: lines per
+  (order, line-number and part range), running sums over an order's ranges, and
+  ``row_number`` inside a range, so that no order meets in one task.
+* pivot of three lines: an aggregate by (order, part); of a hot order each part is
+  a group of its own.
 * orders LEFT JOIN comps on the order key (sort-merge or AQE broadcast by size).
 """
 
@@ -27,6 +26,9 @@ from ..session import read_table
 COMP_SLOTS = (1, 2, 3)
 #: Order keys are below it.
 PART_STEP = 1 << 40
+#: Lines above which an order is ranked by ranges, and the width of a range in part keys.
+HOT_ORDER = 100_000
+RANGE_PARTS = 4096
 
 
 def _money(x: Column) -> Column:
@@ -64,19 +66,28 @@ def missing_field() -> Column:
     return field(None)
 
 
-def order_comps(lineitem: DataFrame, every_line: bool = False) -> DataFrame:
-    """Three lines of an order as one row: (l_orderkey, part, n_lines, p1..p3, q1..q3).
-
-    Part 0 holds the first three lines.  With ``every_line`` the lines 3n+1 to 3n+3 are part n, so that
-    every line is read; an order's lines then meet in one task.
-    """
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    top = (lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity")
-           .withColumn("rn", F.row_number().over(w)))
-    if every_line:
-        top = top.withColumn("part", F.expr("(rn - 1) div 3")).withColumn("rn", F.expr("(rn - 1) % 3 + 1"))
-    else:
-        top = top.filter(F.col("rn") <= 3).withColumn("part", F.lit(0).cast("long"))
+def ranked_lines(lineitem: DataFrame) -> DataFrame:
+    """Lines with rn, their number from 1 in the order by (line number, part, supplier, price)."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    lines = lineitem.select("l_orderkey", *order, "l_quantity")
+    hot = lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ORDER).select("l_orderkey")
+    few = lines.join(hot, "l_orderkey", "left_anti").withColumn(
+        "rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)))
+    # ranges follow the order: line number first, then part
+    at = ["l_orderkey", "l_linenumber", "range"]
+    many = lines.join(hot, "l_orderkey", "left_semi").withColumn("range", F.floor(F.col("l_partkey") / RANGE_PARTS))
+    sizes = many.groupBy(*at).agg(F.count("*").alias("here"))
+    through = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "range")
+    sizes = sizes.select(*[F.col(c).alias(f"_{c}") for c in at], (F.sum("here").over(through) - F.col("here")).alias("before"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in at]
+    many = many.withColumn("rn", F.row_number().over(Window.partitionBy(*at).orderBy(*order))).join(sizes, same)
+    many = many.withColumn("rn", (F.col("rn") + F.col("before")))
+    return few.unionByName(many.select(few.columns))
+
+
+def order_comps(lineitem: DataFrame) -> DataFrame:
+    """Three lines of an order as one row: (l_orderkey, part, n_lines, p1..p3, q1..q3); part n has lines 3n+1 to 3n+3."""
+    top = ranked_lines(lineitem).withColumn("part", F.expr("(rn - 1) div 3")).withColumn("rn", F.expr("int((rn - 1) % 3 + 1)"))
     aggs = [F.max("rn").alias("n_lines")]
     for i in COMP_SLOTS:
         aggs.append(F.max(F.when(F.col("rn") == i, F.col("l_partkey"))).alias(f"p{i}"))
@@ -84,9 +95,19 @@ def order_comps(lineitem: DataFrame, every_line: bool = False) -> DataFrame:
     return top.groupBy("l_orderkey", "part").agg(*aggs)
 
 
-def _order_base(spark: SparkSession, sf_dir: str, every_line: bool = False) -> DataFrame:
+def document_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ck, doc_id) of every derived appraisal: its customer, without ranking the lines."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    last = F.greatest(F.lit(0).cast("long"), F.expr("(coalesce(n, 0) + 2) div 3 - 1"))
+    return (orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+            .select(F.col("o_custkey").alias("ck"), "o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+            .select("ck", (F.col("part") * PART_STEP + F.col("o_orderkey")).alias("doc_id")))
+
+
+def _order_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    comps = order_comps(read_table(spark, sf_dir, "lineitem"), every_line)
+    comps = order_comps(read_table(spark, sf_dir, "lineitem"))
     k = F.col("o_orderkey")
     ck = F.col("o_custkey")
     return (orders.join(comps, orders.o_orderkey == comps.l_orderkey, "left")
@@ -144,16 +165,15 @@ def appraisal_field_columns() -> dict[str, Column]:
     return cols
 
 
-def appraisals(spark: SparkSession, sf_dir: str, every_line: bool = False) -> DataFrame:
-    """(doc_id, file_name, fields) — one derived appraisal per order, from its first three lines.
+def appraisals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, file_name, fields): one derived appraisal per three lines of an order; an order without lines has one.
 
-    With ``every_line``: one per part of an order, so that no line is left out.  Part 0 has the row it has
-    without; part n has doc_id ``n * PART_STEP + o_orderkey`` and its number in the file name.
+    Part n has doc_id ``n * PART_STEP + o_orderkey``; parts after the first have their number in the file name.
     """
     cols = appraisal_field_columns()
     fields = F.struct(*[(cols.get(n) if n in cols else missing_field()).alias(n) for n in APPRAISAL_FIELDS])
     part = F.when(F.col("part") > 0, F.concat(F.lit("_"), F.col("part").cast("string"))).otherwise("")
-    return _order_base(spark, sf_dir, every_line).select(
+    return _order_base(spark, sf_dir).select(
         (F.col("part") * PART_STEP + F.col("k")).alias("doc_id"),
         F.concat(F.lit("appraisal_"), F.col("k").cast("string"), part, F.lit(".pdf")).alias("file_name"),
         fields.alias("fields"))
