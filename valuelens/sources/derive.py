@@ -95,6 +95,17 @@ def order_comps(lineitem: DataFrame) -> DataFrame:
     return top.groupBy("l_orderkey", "part").agg(*aggs)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Source rows dealt evenly over all tasks, before they become records.
+
+    A record is dozens of times as wide and costly as its source row, so neither the splits of the source files nor the
+    sizes that adaptive coalescing goes by say how much work a task gets; lines of one large order share a task as well.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys)
+
+
 def document_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ck, doc_id) of every derived appraisal: its customer, without ranking the lines."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -110,7 +121,7 @@ def _order_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     comps = order_comps(read_table(spark, sf_dir, "lineitem"))
     k = F.col("o_orderkey")
     ck = F.col("o_custkey")
-    return (orders.join(comps, orders.o_orderkey == comps.l_orderkey, "left")
+    rows = (orders.join(comps, orders.o_orderkey == comps.l_orderkey, "left")
             .select(
                 k.alias("k"), ck.alias("ck"), F.col("o_totalprice").alias("v"),
                 F.date_format("o_orderdate", "yyyy-MM-dd").alias("od"),
@@ -121,6 +132,7 @@ def _order_base(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.coalesce("part", F.lit(0).cast("long")).alias("part"),
                 F.coalesce(F.col("n_lines"), F.lit(0)).alias("n_lines"),
                 *[F.col(f"p{i}") for i in COMP_SLOTS], *[F.col(f"q{i}") for i in COMP_SLOTS]))
+    return spread(rows, "k", "part")
 
 
 def appraisal_field_columns() -> dict[str, Column]:
@@ -231,6 +243,6 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("_cp")))
     cols = loan_field_columns()
     fields = F.struct(*[(cols.get(n) if n in cols else missing_field()).alias(n) for n in LOAN_FIELDS])
-    return base.select(F.col("k").alias("doc_id"),
+    return spread(base, "k").select(F.col("k").alias("doc_id"),
                        F.concat(F.lit("loan_"), F.col("k").cast("string"), F.lit(".pdf")).alias("file_name"),
                        fields.alias("fields"))
