@@ -86,6 +86,24 @@ def test_stream_rerun_adds_nothing_and_takes_new_files(spark, tmp_path):
     assert sorted(r["doc_id"] for r in ST.read_sink(spark, sink).collect()) == [1, 2, 3]
 
 
+def test_redelivered_document_is_taken_once(spark, tmp_path):
+    """A document in two files, in one run and in a later one, is one row; responses without an id are told by their JSON."""
+    from valuelens.streaming import intake as ST
+    landing, sink, ckpt = (str(tmp_path / d) for d in ("landing", "sink", "checkpoint"))
+
+    def deliver(*rows):
+        ST.land(spark.createDataFrame(list(rows), "doc_id long, json string").coalesce(1), landing)
+
+    deliver((1, "{}"), (2, "not json"), (None, "{}"))
+    deliver((1, "not json"), (3, "{}"))
+    ST.intake_stream(spark, landing, sink, ckpt, max_files_per_trigger=1)
+    deliver((2, "{}"), (4, "{}"), (None, "{}"), (None, "other"))
+    ST.intake_stream(spark, landing, sink, ckpt)
+    got = sorted(((r["doc_id"], r["status"]) for r in ST.read_sink(spark, sink).collect()), key=str)
+    assert [d for d, _ in got] == [1, 2, 3, 4, None, None]
+    assert dict(got[1:2]) == {2: "error"}  # the first delivery stays
+
+
 def test_confidence_counts_cover_every_field(spark):
     """On the derived records every field has exactly one of the four levels."""
     from pyspark.sql import functions as F
