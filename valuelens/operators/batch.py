@@ -159,7 +159,8 @@ def read_batch_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_reports_json(processed: DataFrame, path: str) -> None:
-    """One JSON report per document: header, fields, confidence summary, calibration and comp analysis.
+    """One JSON report per document: header, fields, confidence summary, calibration with its flags and field
+    reliabilities, comp analysis with its comparables, adjustments, bracketing and warnings.
 
     A failed document has its error and no report."""
     reports(processed).write.mode("overwrite").json(path)
@@ -171,8 +172,18 @@ def reports(processed: DataFrame) -> DataFrame:
         "doc_id", "file_name", "status", "error",
         F.when(ok, F.col("fields")).alias("fields"),
         F.when(ok, F.struct(*R.confidence_counts())).alias("confidence_summary"),
-        F.when(ok, F.struct(*K.report_columns())).alias("calibration"),
-        F.when(ok, F.struct(*C.report_columns())).alias("comp_analysis"))
+        F.when(ok, K.nested_report()).alias("calibration"),
+        F.when(ok, C.nested_report()).alias("comp_analysis"))
+
+
+def report_entries(read: DataFrame, name: str) -> DataFrame:
+    """One row per entry of a list in the reports, in list order; a failed document has no report and no entries."""
+    part = "calibration" if name in ("flags", "field_reliabilities") else "comp_analysis"
+    entries = F.col(f"{part}.{name}")
+    if name == "warnings":
+        return read.select("doc_id", F.posexplode(entries).alias("warning_ord", "warning"))
+    rate = [F.col("comp_analysis.estimated_gla_rate_per_sqft").alias("estimated_rate_per_sqft")] if name == "adjustments" else []
+    return read.select("doc_id", *rate, F.inline(entries))
 
 
 def read_reports_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

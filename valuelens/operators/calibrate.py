@@ -232,6 +232,12 @@ def flag_entries() -> Column:
                      for i, name, fields in SLOTS])
 
 
+def nested_report() -> Column:
+    """The whole calibration report of a document: scalars, the raised flags in flag order, every field's reliability."""
+    raised = F.filter(flag_entries(), lambda f: f["severity"].isNotNull())
+    return F.struct(*report_columns(), raised.alias("flags"), reliability_entries().alias("field_reliabilities"))
+
+
 def calibration_flags(docs: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
     """One row per raised flag, in flag order."""
     return (with_calibration(docs, as_of_year)

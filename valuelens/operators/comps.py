@@ -174,14 +174,41 @@ def analyze_comps(docs: DataFrame) -> DataFrame:
     return with_comp_analysis(docs).select("doc_id", *report_columns())
 
 
+def comparable_entries() -> Column:
+    return F.array(*[F.struct(F.lit(f"comp_{i}").alias("label"),
+                              F.col("fields").getField(f"comp_{i}_address").getField("value").alias("address"),
+                              F.col(f"_cp{i}").alias("sale_price"), F.col(f"_cg{i}").alias("gla_sqft"),
+                              F.col(f"_pp{i}").alias("price_per_sqft")) for i in SLOTS])
+
+
+def adjustment_entries() -> Column:
+    """One entry per adjusted comparable; none without a rate or a subject GLA."""
+    entries = [F.when(F.col(f"_has{i}"), F.struct(
+        F.lit(f"comp_{i}").alias("comp"), F.col(f"_cp{i}").alias("comp_sale_price"),
+        F.col(f"_diff{i}").alias("gla_difference_sqft"), F.col(f"_adj{i}").alias("adjustment"),
+        F.col(f"_adjv{i}").alias("adjusted_comp_value"))) for i in SLOTS]
+    return F.array_compact(F.array(*entries))
+
+
+def nested_report() -> Column:
+    """The whole comp report of a document: scalars, blocks of them, comparables, adjustments, the list of warnings."""
+    return F.struct(
+        F.struct(F.col("_av").alias("appraised_value"), F.col("_gla").alias("gla_sqft"),
+                 F.col("_subj_ppsf").alias("implied_ppsf")).alias("subject"),
+        F.col("_n_valid").cast("bigint").alias("valid_comp_count"), comparable_entries().alias("comparables"),
+        F.struct("comp_ppsf_mean", "comp_ppsf_std", "comp_ppsf_min", "comp_ppsf_max", "subject_vs_mean_pct").alias("ppsf"),
+        F.col("gla_rate").alias("estimated_gla_rate_per_sqft"), adjustment_entries().alias("adjustments"),
+        F.struct(F.col("adj_low").alias("low"), F.col("adj_high").alias("high"),
+                 F.col("in_range").alias("appraised_value_in_range")).alias("adjusted_value_range"),
+        F.struct("is_bracketed", "has_comp_above", "has_comp_below", F.col("bracketing_message").alias("message"))
+        .alias("bracketing"),
+        "comp_quality_score", "comp_quality_label", F.col("comp_warnings").alias("warnings"),
+        F.col("comp_summary").alias("summary"))
+
+
 def parse_comparables(docs: DataFrame) -> DataFrame:
     """Three rows per document: label, address, parsed price and GLA, rounded $/sqft."""
-    df = with_comp_analysis(docs)
-    entries = [F.struct(F.lit(f"comp_{i}").alias("label"),
-                        F.col("fields").getField(f"comp_{i}_address").getField("value").alias("address"),
-                        F.col(f"_cp{i}").alias("sale_price"), F.col(f"_cg{i}").alias("gla_sqft"),
-                        F.col(f"_pp{i}").alias("price_per_sqft")) for i in SLOTS]
-    return df.select("doc_id", F.inline(F.array(*entries)))
+    return with_comp_analysis(docs).select("doc_id", F.inline(comparable_entries()))
 
 
 def gla_adjustments(docs: DataFrame) -> DataFrame:

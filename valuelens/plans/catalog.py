@@ -444,13 +444,34 @@ def q_write_batch_csv(spark, sf):
     return B.read_batch_csv(spark, path)
 
 
-@query("write_reports_json")
-def q_write_reports_json(spark, sf):
+def _reports(spark, sf):
+    """The nested reports of all documents, written as JSON and read back."""
     path = B.output_dir(spark, "reports-json")
     processed = _processed(spark, sf)
     B.write_reports_json(processed, path)
-    r = B.read_reports_json(spark, path, B.reports(processed).schema)
-    return r.select("doc_id", "file_name", "status",
+    return B.read_reports_json(spark, path, B.reports(processed).schema)
+
+
+def _report_list(name):
+    return lambda spark, sf: B.report_entries(_reports(spark, sf), name)
+
+
+for _list in ("flags", "field_reliabilities", "comparables", "adjustments", "warnings"):
+    REGISTRY[f"report_{_list}"] = _report_list(_list)
+
+
+@query("report_bracketing")
+def q_report_bracketing(spark, sf):
+    return _reports(spark, sf).filter("status = 'success'").select(
+        "doc_id", F.col("comp_analysis.subject.implied_ppsf").alias("subject_implied_ppsf"),
+        "comp_analysis.ppsf.comp_ppsf_mean", F.col("comp_analysis.adjusted_value_range.low").alias("adjusted_value_range_low"),
+        "comp_analysis.bracketing.is_bracketed", "comp_analysis.bracketing.has_comp_above",
+        "comp_analysis.bracketing.has_comp_below", F.col("comp_analysis.bracketing.message").alias("bracketing_message"))
+
+
+@query("write_reports_json")
+def q_write_reports_json(spark, sf):
+    return _reports(spark, sf).select("doc_id", "file_name", "status",
                     F.col("calibration.reliability_score").alias("reliability_score"),
                     F.col("calibration.error_count").alias("error_count"),
                     F.col("comp_analysis.comp_quality_label").alias("comp_quality_label"),

@@ -928,6 +928,17 @@ ORACLE["write_reports_json"] = _PIPE + (
         f"(CASE WHEN {n}__c = 'high' THEN 1 ELSE 0 END)" for n in APPRAISAL_FIELDS)
     + f" AS BIGINT) END AS high FROM {_PROC}")
 
+# the lists of the reports: the queries of the same entries, over the documents of the text pipeline that succeeded
+_ok_docs = "doc_id IN (SELECT doc_id FROM xdocs WHERE status = 'success')"
+for _list, _key, _base in (("flags", "calibration_flags", CAL_ALL), ("field_reliabilities", "field_reliabilities", CAL_ALL),
+                           ("comparables", "parse_comparables", COMP_ALL), ("adjustments", "gla_adjustments", COMP_ALL),
+                           ("warnings", "comp_warnings", COMP_ALL)):
+    ORACLE[f"report_{_list}"] = _PIPE + f"\nSELECT * FROM ({ORACLE[_key].removeprefix(_base)}) WHERE {_ok_docs}"
+ORACLE["report_bracketing"] = _PIPE + (
+    "\nSELECT doc_id, " + ", ".join(f"{_COMP_REPORT[c]} AS {c}" for c in (
+        "subject_implied_ppsf", "comp_ppsf_mean", "adjusted_value_range_low", "is_bracketed", "has_comp_above",
+        "has_comp_below", "bracketing_message")) + f" FROM compf WHERE {_ok_docs}")
+
 _desc = ", ".join("'" + d.replace("'", "''") + "'" for _, d in __import__(
     "valuelens.schema", fromlist=["APPRAISAL_FIELDS_WITH_DESCRIPTIONS"]).APPRAISAL_FIELDS_WITH_DESCRIPTIONS)
 ORACLE["field_catalogue"] = W(APPR_CTE, VAL_CTE) + (
