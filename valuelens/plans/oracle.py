@@ -731,14 +731,17 @@ ORACLE["decode_appraisal"] = W(APPR_CTE, RESP_CTE) + "\n" + Q.unnest_fields(
 
 
 def _strict_sql(resp: str, names: list[str]) -> str:
+    paths = ["$"] + [p for n in names for p in (f"$.{n}", *(f"$.{n}.{m}" for m in (
+        "value", "confidence", "reasoning", "source_snippet")))]
+
     def jt(path):
-        return f"(CASE WHEN json_valid(json) THEN json_type(json, '{path}') END)"
+        return f"types[{paths.index(path) + 1}]"
 
     cols, kept = [], {}
-    for n in names:
+    for i, n in enumerate(names):
         k = f"coalesce({jt(f'$.{n}')} = 'OBJECT', false)"
         tv, tc, tr, ts = (jt(f"$.{n}.{m}") for m in ("value", "confidence", "reasoning", "source_snippet"))
-        conf = f"(CASE WHEN json_valid(json) THEN json_extract_string(json, '$.{n}.confidence') END)"
+        conf = f"levels[{i + 1}]"
         ok = (f"(({tv} IS NULL OR {tv} IN ('NULL', 'VARCHAR')) AND ({tc} IS NULL OR ({tc} = 'VARCHAR' AND {conf} IN "
               f"('high', 'medium', 'low', 'missing'))) AND ({tr} IS NULL OR {tr} = 'VARCHAR') AND "
               f"({ts} IS NULL OR {ts} IN ('NULL', 'VARCHAR')))")
@@ -754,7 +757,10 @@ def _strict_sql(resp: str, names: list[str]) -> str:
         f"CASE WHEN err IS NULL THEN CAST(" + " + ".join(f"(CASE WHEN c_{n} = '{lv}' THEN 1 ELSE 0 END)" for n in names)
         + f" AS BIGINT) END AS {lv}" for lv in ("high", "medium", "low", "missing"))
     return (f"SELECT doc_id, CASE WHEN err IS NULL THEN 'ok' ELSE 'error' END AS status, err AS error, {counts} "
-            f"FROM (SELECT *, {err} AS err FROM (SELECT doc_id, json, {', '.join(cols)} FROM {resp}))")
+            f"FROM (SELECT *, {err} AS err FROM (SELECT doc_id, json, types, {', '.join(cols)} FROM ("
+            f"SELECT doc_id, json, CASE WHEN json_valid(json) THEN json_type(json, {paths}) END AS types, "
+            f"CASE WHEN json_valid(json) THEN json_extract_string(json, {[f'$.{n}.confidence' for n in names]}) END AS levels "
+            f"FROM {resp})))")
 
 
 ORACLE["decode_appraisal_repair"] = W(APPR_CTE, RESP_CTE) + "\n" + _strict_sql("resp", APPRAISAL_FIELDS)
