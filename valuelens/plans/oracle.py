@@ -889,15 +889,16 @@ ORACLE["write_batch_csv"] = _PIPE + "\nSELECT * EXCLUDE (doc_id) FROM (" + _row_
 def _decoded_cte(name: str, resp: str, names: list[str], kind: str) -> str:
     """name_docs (status and error per response) and name (doc_id, file_name, f, f__c), all missing where decoding failed."""
     fields = ", ".join(
-        f"json_extract_string(json, '$.{f}.value') AS {f}, "
-        f"coalesce(json_extract_string(json, '$.{f}.confidence'), 'missing') AS {f}__c" for f in names)
+        f"vals[{i}] AS {f}, coalesce(levels[{i}], 'missing') AS {f}__c" for i, f in enumerate(names, 1))
+    lists = ", ".join(f"json_extract_string(json, {[f'$.{f}.{m}' for f in names]}) AS {c}"
+                      for m, c in (("value", "vals"), ("confidence", "levels")))
     return f"""{name}_strict AS ({_strict_sql(resp, names)}),
 {name}_docs AS (
   SELECT d.doc_id, '{kind}_' || d.doc_id || '.pdf' AS file_name, d.error,
          CASE WHEN d.status = 'ok' THEN 'success' ELSE 'error' END AS status,
          CASE WHEN d.status = 'ok' THEN r.json END AS json
   FROM {name}_strict d JOIN {resp} r ON d.doc_id = r.doc_id),
-{name} AS (SELECT doc_id, file_name, {fields} FROM {name}_docs)"""
+{name} AS MATERIALIZED (SELECT doc_id, file_name, {fields} FROM (SELECT doc_id, file_name, {lists} FROM {name}_docs))"""
 
 
 def _blank_unless_ok(x: str) -> str:
