@@ -73,6 +73,17 @@ def row_key(doc_id: Column, text: Column) -> Column:
                            F.coalesce(text, F.lit(""))), 256)
 
 
+def one_text(rows: DataFrame, *by: str) -> DataFrame:
+    """A row for each value of the columns `by`: of the texts of a repeated id, the one with the smallest digest."""
+    return rows.groupBy(*by).agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text"))
+
+
+def without(docs: DataFrame, key: Column, bad: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in bad's column `key`.  Rows travel as one column, so no other name can clash."""
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    return rows.join(small(bad.select("key")), "key", "left_anti").select("row.*")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that training never sees: crc32 of the id as text, remainder 2 of 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -3,7 +3,9 @@
 Document evidence is a logistic classifier over shares that the text's bytes and words give (symbols, digits, capitals,
 repeated words, word lengths ...), fitted in numpy.  Every document's evidence is summed per host and path by grouped
 aggregation.  A host's posterior shrinks its mean evidence towards the corpus mean, a path's towards its host's; how much
-is estimated from the spread between groups (method of moments), so a site with few documents keeps the prior.  The score
+is estimated by moments: the variance inside groups is pooled over their degrees of freedom, so that groups of one document
+do not enter it, and the variance between groups is what their means spread beyond it.  A site with few documents keeps the
+prior; where groups do not differ, or nothing tells whether they do, all keep it.  The score
 adds to the document's own log-odds what its path's posterior says above the corpus mean; the document's own evidence is
 taken out of the sums first, so that it does not count twice.
 
@@ -12,7 +14,7 @@ Evidence, sums and scores cover every whole text.  Hosts and paths are pre-aggre
 broadcast only if they have a bounded number of rows.
 
 Defined results: a null or empty text has evidence from zero shares; a null host or path is a group of its own; repeated
-labels count once (the largest); without two classes the evidence is the share of label 1 (one half without labels);
+labels count once (the largest), of a repeated id the text with the smallest digest; without two classes the evidence is the share of label 1 (one half without labels);
 every row gives one row; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, row_key, ship, small, stored
+from .common import held_out, one_text, row_key, ship, small, stored
 
 ship(__name__)
 
 SAMPLE = 6000
+MOST = 1e6  # documents that a prior is worth at most
 KEEP = 0.5
 _SYMBOL = np.array([b in b"*#%$&|<>{}[]=~^\\@_+" for b in range(256)])
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
@@ -87,7 +90,7 @@ def evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column, row
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     known = stored(known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows), "training_ids")
     part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    got = _featured(part.dropDuplicates(["doc_id"])).orderBy("doc_id").toPandas()  # at most `rows` rows of 11 numbers
+    got = _featured(one_text(part, "doc_id", "quality")).orderBy("doc_id").toPandas()  # at most `rows` rows of 11 numbers
     y = got["quality"].to_numpy(float)
     base = float(y.mean()) if len(y) else 0.5
     model = fit(np.stack(got["x"].tolist()), y) if len(y) and 0 < base < 1 else None
@@ -109,14 +112,20 @@ def evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column, row
     return cols.mapInArrow(run, "doc_id bigint, key string, host string, path string, p double")
 
 
-def _strength(groups: DataFrame, mean: str, n: str, centre: Column) -> DataFrame:
-    """One row: how many documents the level's prior is worth, from the spread of the group means (beta moments)."""
-    c = centre
-    within = F.avg(F.col("within"))
-    spread = F.sum(F.col(n) * (F.col(mean) - c) ** 2) / F.greatest(F.sum(n), F.lit(1))
-    between = spread - F.avg(F.col("within") / F.col(n))
-    return groups.agg(F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.try_divide(within, F.greatest(
-        between, F.lit(1e-9))))), F.lit(1.0)).alias("k"))
+def _strength(groups: DataFrame) -> float:
+    """How many documents the prior of a level is worth: the variance inside groups over that between groups of one parent.
+
+    groups has n, s and q (documents, sum and sum of squares of their evidence) and pn and ps (n and s of the parent)."""
+    inside = F.greatest(F.lit(0.0), F.col("q") - F.col("s") ** 2 / F.col("n"))
+    away = F.col("n") * (F.col("s") / F.col("n") - F.col("ps") / F.col("pn")) ** 2
+    row = groups.agg(F.sum(inside).alias("inside"), F.sum(F.col("n") - 1).alias("free"), F.sum(away).alias("away"),
+                     F.sum(1 - F.col("n") / F.col("pn")).alias("groups"),
+                     F.sum(F.col("n") * (1 - F.col("n") / F.col("pn"))).alias("weight")).first()  # five numbers
+    if not row["free"] or not row["weight"]:
+        return MOST
+    within = row["inside"] / row["free"]
+    between = (row["away"] - row["groups"] * within) / row["weight"]
+    return min(MOST, within / between) if between > 0 else MOST
 
 
 def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
@@ -125,22 +134,18 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column)
     paths = stored(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"),
                                                     F.sum(F.col("p") ** 2).alias("q")), "paths")
     hosts = stored(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]), "hosts")
-    total = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(
-        F.coalesce(F.try_divide("s", "n"), F.lit(0.5)).alias("mu"))
-    mu = float(total.first()[0])  # one number
-
-    def level(t: DataFrame, centre: Column) -> float:
-        spread = t.withColumn("m", F.col("s") / F.col("n")).withColumn(
-            "within", F.greatest(F.lit(1e-9), F.col("q") / F.col("n") - F.col("m") ** 2))
-        return float(_strength(spread, "m", "n", centre).first()[0])
-
-    k_host = level(hosts, F.lit(mu))
+    total = hosts.agg(F.sum("n").alias("pn"), F.sum("s").alias("ps"))
+    pn, ps = total.first()  # two numbers
+    mu = float(ps / pn) if pn else 0.5
+    k_host = _strength(hosts.withColumns({"pn": F.lit(pn or 1), "ps": F.lit(ps or 0.0)}))
     both = paths.join(hosts.select("host", F.col("n").alias("hn"), F.col("s").alias("hs")), "host")
-    k_path = level(both, F.col("hs") / F.col("hn"))
+    k_path = _strength(both.withColumnsRenamed({"hn": "pn", "hs": "ps"}))
     both = small(stored(both.select("host", "path", "n", "s", "hn", "hs"), "sites"))
     own = rows.join(both, ["host", "path"])
-    host_prior = (F.col("hs") - F.col("p") + k_host * mu) / (F.col("hn") - 1 + k_host)
-    path_prior = (F.col("s") - F.col("p") + k_path * F.col("host_prior")) / (F.col("n") - 1 + k_path)
+    # without variance inside groups the prior is worth nothing, unless there is no other document
+    shrunk = lambda s, n, k, prior: F.coalesce(F.try_divide(s - F.col("p") + k * prior, n - 1 + k), prior)
+    host_prior = shrunk(F.col("hs"), F.col("hn"), F.lit(k_host), F.lit(mu))
+    path_prior = shrunk(F.col("s"), F.col("n"), F.lit(k_path), F.col("host_prior"))
     own = own.withColumn("host_prior", host_prior).withColumn("path_prior", path_prior)
     logit = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
     z = logit(F.col("p")) + logit(F.col("path_prior")) - logit(F.lit(mu))
