@@ -7,7 +7,7 @@ one water level: sources fill in order of cap over weight.
 Schedule: slot k of the mix has the golden-ratio point frac((k + 1/2) * phi).  The point falls in one source's part of
 the cumulative target weights, and a source's slots are ranked by k.  mixed() gives its rows in this order.  Slot r of a source takes its r-th block: the
 documents of the source are shuffled by a digest, laid end to end, and cut into blocks of equal size in words; after the
-last block the source starts over.  A source's stream ends where its target is reached, inside its last block, so that
+last block the source starts over.  A document's positions are those of its first slot in each lap.  A source's stream ends where its target is reached, inside its last block, so that
 each source gives its target's whole words, and no document more than twice its size.  Slots that a source still needs when
 the K points are used up follow in the tail of the schedule.
 
@@ -172,29 +172,31 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     of the first slot that takes of it; a part taken is its text up to the
     end of its last word that is taken."""
     got = mixture(docs, block).where("taken > 0")
-    lap = lambda n, words, position: F.struct(F.lit(n).alias("_lap"), words.alias("_words"), F.col(position).alias("_position"))
-    laps = got.select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("begin").alias("_begin"), F.inline(F.array(
+    lap = lambda n, words, position: F.struct(F.lit(n).alias("lap"), words.alias("words"), F.col(position).alias("position"))
+    laps = got.select("key", "size", "begin", F.inline(F.array(
         lap(0, F.col("first_lap"), "first_position"),
-        lap(1, F.col("taken") - F.col("first_lap"), "second_position")))).where("_words > 0")
+        lap(1, F.col("taken") - F.col("first_lap"), "second_position")))).where("words > 0")
     laps = stored(laps, "laps")
-    rows = docs.withColumn("_key", _key()).join(laps, "_key").dropDuplicates(["_key", "_lap"])
-    part = first_words(F.col("text"), F.col("_words").cast("int"))
-    rows = rows.withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(part))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.orderBy("_position", "_begin", "_key").select(*docs.columns)
+    # a row of docs travels as one column, so that no name can clash
+    rows = docs.select(F.struct("*").alias("row"), _key().alias("key")).join(laps, "key").dropDuplicates(["key", "lap"])
+    text = F.col("row.text")
+    text = F.when(F.col("words") == F.col("size"), text).otherwise(first_words(text, F.col("words").cast("int")))
+    rows = rows.withColumn("text", text)
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
+    cols = [new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return rows.orderBy("position", "begin", "key").select(*cols)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
-        "doc_id", "size", "source_size", "target", "taken")
+        "doc_id", "size", "source_size", "target", "taken", "first_position", "second_position")
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(source, '')), 1, 15))::BIGINT AS u
-  FROM documents),
+  , row_number() OVER () AS id FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS n, [2, 3, 1][1 + row_number() OVER (ORDER BY source NULLS LAST) % 3] AS w
   FROM d GROUP BY source),
@@ -206,10 +208,34 @@ levels AS (
 level AS (SELECT rest, w_left FROM levels WHERE rest <= 2 * r * w_left ORDER BY r LIMIT 1),
 t AS (SELECT source, n, least(2.0::DOUBLE * n, w * rest / w_left::DOUBLE) AS target FROM s, level),
 p AS (
-  SELECT doc_id, size, n, target, floor(target)::BIGINT AS q,
+  SELECT id, doc_id, d.source, size, n, target, floor(target)::BIGINT AS q,
          sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) - size AS b
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+-- slot k of the schedule belongs to the source in whose part of the cumulative targets frac((k + 1/2) phi) falls
+parts AS (
+  SELECT source, n, q, ceil(n / 1024)::BIGINT AS blocks,
+         (ceil(least(q, n) / 1024) + ceil(greatest(0, q - n) / 1024))::BIGINT AS need,
+         sum(q) OVER (ORDER BY source NULLS LAST)::BIGINT AS upto, sum(q) OVER ()::BIGINT AS total
+  FROM (SELECT source, n, floor(target)::BIGINT AS q FROM t) WHERE q > 0),
+k AS (SELECT coalesce(sum(need), 0)::BIGINT AS slots FROM parts),
+points AS (
+  SELECT range AS id, ((range + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS x
+  FROM range((SELECT slots FROM k))),
+hits AS (
+  SELECT source, points.id, row_number() OVER (PARTITION BY source ORDER BY points.id) - 1 AS r
+  FROM points JOIN parts ON x >= (upto - q) / total::DOUBLE AND x < upto / total::DOUBLE),
+slots AS (
+  SELECT w.source, CASE WHEN w.r >= blocks THEN 1 ELSE 0 END AS lap, CASE WHEN w.r >= blocks THEN w.r - blocks ELSE w.r END AS no,
+         CASE WHEN w.r >= blocks THEN q - n ELSE least(q, n) END AS stop, coalesce(h.id, slots + w.r) AS position
+  FROM (SELECT *, unnest(range(need)) AS r FROM parts) w CROSS JOIN k
+  LEFT JOIN hits h ON w.source IS NOT DISTINCT FROM h.source AND w.r = h.r),
+at AS (
+  SELECT p.id, min(position) FILTER (lap = 0) AS first_position, min(position) FILTER (lap = 1) AS second_position
+  FROM p JOIN slots ON p.source IS NOT DISTINCT FROM slots.source AND no * 1024 < least(b + size, stop)
+                   AND (no + 1) * 1024 > b AND b < stop AND size > 0
+  GROUP BY p.id)
 SELECT doc_id, size, n AS source_size, target,
-       (greatest(0, least(size, least(q, n) - b)) + greatest(0, least(size, q - n - b)))::BIGINT AS taken
-FROM p
+       (greatest(0, least(size, least(q, n) - b)) + greatest(0, least(size, q - n - b)))::BIGINT AS taken,
+       at.first_position, at.second_position
+FROM p LEFT JOIN at USING (id)
 """
