@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, row_key, small, split_words, stored, without_empty_ends
+from .common import ascii_lower, row_key, small, split_words, stored, without, without_empty_ends
 
 WINDOW = 13
 SHINGLE = 3
@@ -129,9 +129,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones, all columns as they were."""
-    bad = stored(contamination(docs, benchmark).where("contaminated").select(F.col("key").alias("_bad")), "contaminated")
-    key = row_key(docs["doc_id"], docs["text"])
-    return docs.join(small(bad), key == F.col("_bad"), "left_anti")
+    bad = stored(contamination(docs, benchmark).where("contaminated").select("key"), "contaminated")
+    return without(docs, row_key(F.col("doc_id"), F.col("text")), bad)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

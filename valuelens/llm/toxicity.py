@@ -8,11 +8,12 @@ one; a logistic curve of that evidence and the number of windows, fitted on docu
 the score.
 
 Training reads a bounded sample: per class the SAMPLE documents with the smallest digest of the id, outside the held-out
-fold.  A third of them is kept aside for the curve, with whole texts of every length, read in tasks; of the others, the
-vectors see those of at most SAMPLE_CHARS characters.  Scoring reads every whole text.  Only the text is an input of a score.
+fold.  A third of them is kept aside for the curve, with whole texts of every length, read in tasks; the others train the
+vectors.  Of a text with more than SAMPLE_WINDOWS windows, that many from all over it train them, those with the smallest
+digests.  Scoring reads every whole text.  Only the text is an input of a score.
 
 Defined results: null, empty and blank texts have no window and get the score of a clean one; labels without a document,
-null labels and repeated labels (the largest counts) are allowed; with fewer than two classes in the sample the score is
+null labels and repeated labels (the largest counts) are allowed; of a repeated id the text with the smallest digest trains; with fewer than two classes in the sample the score is
 the share of label 1 (0 without labels); every row gives one row; extra columns are ignored by score() and kept by
 clean(); an empty table gives an empty result.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, row_key, ship, small, stored
+from .common import held_out, one_text, row_key, ship, stored, without
 
 ship(__name__)
 
@@ -35,7 +36,7 @@ BUCKETS = 1 << 16
 DIM = 4
 WINDOW = 2
 SAMPLE = 1200
-SAMPLE_CHARS = 20_000
+SAMPLE_WINDOWS = 2_000
 EPOCHS = 40
 THRESHOLD = 0.3
 _EDGE = b".,;:!?()[]{}\"'|*#%$&<>-_"
@@ -75,8 +76,19 @@ def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found).astype(np.int64), np.concatenate(owners)
 
 
+def thinned(text: str) -> str:
+    """A text of at most SAMPLE_WINDOWS windows: those with the smallest digests of place and words, in the text's order."""
+    words = words_of(text)
+    if len(words) <= SAMPLE_WINDOWS * WINDOW:
+        return text
+    whole = [b" ".join(words[i:i + WINDOW]) for i in range(0, len(words) - WINDOW + 1, WINDOW)]
+    digest = np.fromiter((zlib.crc32(w, i) for i, w in enumerate(whole)), np.uint32, len(whole))
+    kept = np.sort(np.argsort(digest, kind="stable")[:SAMPLE_WINDOWS])
+    return b" ".join(whole[i] for i in kept).decode("utf-8", "replace")
+
+
 def _sample(docs: DataFrame, labels: DataFrame, rows: int):
-    """(texts and labels of at most 2 * rows documents of SAMPLE_CHARS characters that the vectors are trained on; the
+    """(texts of SAMPLE_WINDOWS windows and labels of at most 2 * rows documents that the vectors are trained on; the
     documents kept aside for the curve, a third of those chosen, with whole texts of any length; every class's size)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -86,8 +98,17 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int):
     aside = F.crc32(F.concat(F.lit("aside"), F.col("doc_id").cast("string"))) % 3 == 2
     chosen = stored(chosen[0].unionByName(chosen[1]).withColumn("aside", aside), "training_ids")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = texts.where(~F.col("aside") & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0)).dropDuplicates(["doc_id"])
-    got = got.select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
+    got = texts.where(~F.col("aside")).select("doc_id", "text", "toxic")
+    got = one_text(got, "doc_id", "toxic").where(F.length("text") > 0)
+
+    def shorten(batches):
+        for batch in batches:
+            texts = pa.array([thinned(t) for t in batch.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), texts], names=["doc_id", "toxic", "text"])
+
+    kind = dict(got.dtypes)["doc_id"]
+    got = got.select("doc_id", "toxic", "text").mapInArrow(shorten, f"doc_id {kind}, toxic int, text string")
+    got = got.toPandas().sort_values("doc_id")
     return got["text"].tolist(), got["toxic"].to_numpy(np.float32), texts.where("aside"), sizes
 
 
@@ -118,17 +139,6 @@ def _constant(prior: float) -> Model:
     return Model(None, 0.0, 0.0, 0.0, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))), 0.0)
 
 
-def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int], seed: int = 7) -> Model:
-    """The vectors from two thirds of the documents, the curve from the others."""
-    fold = np.arange(len(labels)) % 3 == 2
-    if len(set(labels[fold].tolist())) < 2 or len(set(labels[~fold].tolist())) < 2:
-        return _constant(_prior(sizes))
-    weight, bias = vectors_of([t for t, f in zip(texts, fold) if not f], labels[~fold], seed)
-    cache: dict[bytes, float] = {}
-    seen = [_evidence(weight, t, cache) or (0.0, 1) for t, f in zip(texts, fold) if f]
-    return curve(weight, bias, *np.array(seen).T, labels[fold], _prior(sizes))
-
-
 def vectors_of(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """(weight of each bucket, bias): joint training by Adam on whole batches of windows."""
     win, owner, flat, of_word, counts = _windows(texts)
@@ -252,8 +262,8 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic."""
-    bad = stored(score(docs, labels).where("predicted = 1").select(F.col("key").alias("_bad")).distinct(), "toxic")
-    return docs.join(small(bad), row_key(docs["doc_id"], docs["text"]) == F.col("_bad"), "left_anti")
+    bad = stored(score(docs, labels).where("predicted = 1").select("key").distinct(), "toxic")
+    return without(docs, row_key(F.col("doc_id"), F.col("text")), bad)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
