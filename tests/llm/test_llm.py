@@ -37,7 +37,7 @@ def odd(spark):
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(ODD)] + [(None, "null id", None, None, None)]
     rows += [rows[3], rows[7]]
     df = spark.createDataFrame(rows, SCHEMA)
-    return df.select("*", *[F.lit(7).alias(c) for c in ("key", "name", "size", "row", "shard", "slot", "hash", "words", "n")])
+    return df.select("*", *[F.lit(7).alias(c) for c in ("key", "name", "size", "row", "shard", "slot", "hash", "words", "n", "_key", "_bad", "_lap", "lap", "begin")])
 
 
 @pytest.fixture(scope="module")
@@ -253,6 +253,8 @@ def test_a_long_conversation_copies_no_prefixes(spark, monkeypatch):
     monkeypatch.setattr(chat_format, "TURN_BITS", 1)
     assert sorted(map(str, chat_format.read_back(chat_format.examples(df)).collect())) == one
     assert sorted(map(str, chat_format.summary(df).collect())) == one
+    spans = lambda f, *more: sorted(map(str, f.select("conv_id", "loss_start", "loss_end", *more).collect()))
+    assert spans(chat_format.expanded(df).where("shown"), "end") == spans(chat_format.examples(df), F.length("text").alias("end"))
     n = 40_000  # the prefixes of its 20,000 examples have 25 billion characters
     turn = F.when(F.col("id") % 2 == 1, "assistant").otherwise("user")
     long = spark.range(n).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), turn.alias("role"),
@@ -312,12 +314,12 @@ def test_toxicity_learns_and_shares_subwords(spark, odd, empty, labels):
         texts.append(" ".join(w))
         y.append(int(i % 3 == 0))
     seen = [i for i in range(1800) if i % 6]
-    model = toxicity.train([texts[i] for i in seen], np.array([y[i] for i in seen], np.float32), {0: 1200, 1: 300})
+    known = lambda some: spark.createDataFrame([(i, 1, y[i]) for i in some], "doc_id long, quality int, toxic int")
+    model = toxicity.fitted(_docs(spark, texts), known(seen))
     bucket, _ = toxicity.bags([b"horribel"])
     plain, _ = toxicity.bags([b"abcdefgh"])
     assert model.weight[bucket].mean() > model.weight[plain].mean()
-    got = toxicity.score(_docs(spark, texts), spark.createDataFrame(
-        [(i, 1, v) for i, v in enumerate(y)], "doc_id long, quality int, toxic int")).toPandas().sort_values("doc_id")
+    got = toxicity.score(_docs(spark, texts), known(range(1800))).toPandas().sort_values("doc_id")
     held = np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in range(1800)])
     assert (got["held_out"].to_numpy() == held).all()
     assert _auc(got["score"].to_numpy()[held], np.array(y)[held]) > 0.9
@@ -334,7 +336,57 @@ def test_toxicity_curve_sees_texts_of_every_length(spark, monkeypatch):
     assert toxicity.score(_docs(spark, texts), labels).count() == 120
     aside = [i for i in range(120) if zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(f"aside{i}".encode()) % 3 == 2]
     assert known[0].tolist() == [-(-len(texts[i].split()) // toxicity.WINDOW) for i in aside]
-    assert max(len(texts[i]) for i in aside) > toxicity.SAMPLE_CHARS
+    assert max(len(texts[i]) for i in aside) > 20_000
+
+
+def test_toxicity_trains_on_long_texts_and_on_one_text_of_an_id(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_WINDOWS", 50)
+    short, long = "a b c", " ".join(f"w{i}" for i in range(1001))
+    assert toxicity.thinned(short) == short
+    words = toxicity.thinned(long).split()
+    places = [int(w[1:]) for w in words]
+    assert len(words) == 100 and places == sorted(places) and all(p % 2 == 0 and q == p + 1 for p, q in zip(places[::2], places[1::2]))
+    assert min(places) < 200 and max(places) > 800  # from all over the text
+    trained = []
+    monkeypatch.setattr(toxicity, "vectors_of", lambda t, y, f=toxicity.vectors_of: trained.append(sorted(t)) or f(t, y))
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    texts = [f"id {i} " + ("bad " * 500 if i % 2 else "good") for i in range(40)]
+    docs = _docs(spark, texts).unionByName(_docs(spark, [f"again {i}" for i in range(40)])).unionByName(_docs(spark, [None] * 40))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for rows in (docs, docs.repartition(5)):
+        toxicity.fitted(rows, labels)
+    md5 = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(f"aside{i}".encode()) % 3 != 2]
+    first = [min((texts[i], f"again {i}", None), key=md5) for i in ids]
+    assert trained == [sorted(toxicity.thinned(t) for t in first if t)] * 2
+
+
+def _brute_toxicity(model, text):
+    """A score from the fitted weights, one n-gram at a time."""
+    values = []
+    for w in (text or "").encode().lower().split():
+        marked = b"<" + (w.strip(b".,;:!?()[]{}\"'|*#%$&<>-_") or w) + b">"
+        buckets = [zlib.crc32(marked) % toxicity.BUCKETS]
+        for n in (3, 4, 5):
+            for i in range(len(marked) - n + 1):
+                h = n
+                for c in marked[i:i + n]:
+                    h = (h ^ c) * 0x01000193 % 2 ** 32
+                buckets.append((h ^ (h >> 15)) % toxicity.BUCKETS)
+        values.append(sum(float(model.weight[b]) for b in buckets) / len(buckets))
+    windows = [sum(values[i:i + 2]) / 2 for i in range(0, len(values), 2)]
+    best, n = (max(windows), len(windows)) if windows else (model.clean, 1)
+    return 1 / (1 + np.exp(-(model.slope * best + model.per_log * np.log(n) + model.shift)))
+
+
+def test_toxicity_scores_equal_brute_force(spark, labels, odd):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(10 ** 9 + i, t) for i, t in enumerate(ODD[:7])], "doc_id long, text string")
+    docs = docs.unionByName(more)
+    model = toxicity.fitted(docs, labels)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.score(docs, labels).collect():
+        assert abs(r["score"] - _brute_toxicity(model, text[r["doc_id"]])) < 1e-5, r
 
 
 def test_site_quality(spark, odd, empty, labels):
@@ -360,6 +412,99 @@ def test_a_site_of_one_document_keeps_the_prior(spark, labels):
     assert ((large["host_prior"] >= low - 1e-9) & (large["host_prior"] <= high + 1e-9)).all()
 
 
+def test_site_posteriors_equal_brute_force(spark, labels):
+    """Hosts of one and of two documents beside large ones: moments and posteriors by plain loops."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").drop_duplicates(["doc_id"])
+    def host_of(i):
+        return "large" if i % 5 == 0 else f"pair{i // 10}" if i % 5 in (1, 2) else f"one{i}"
+    n = F.col("doc_id")
+    host = F.when(n % 5 == 0, F.lit("large")).when((n % 5).isin(1, 2), F.concat(F.lit("pair"), F.expr("doc_id div 10"))).otherwise(
+        F.concat(F.lit("one"), n))
+    got = site_quality.site_quality(docs, labels, host, (n % 3).cast("string")).toPandas()
+    p = dict(zip(got["doc_id"], got["evidence"]))
+    hosts, paths = {}, {}
+    for i in p:
+        hosts.setdefault(host_of(i), []).append(i)
+        paths.setdefault((host_of(i), i % 3), []).append(i)
+    mean = lambda ids: sum(p[i] for i in ids) / len(ids)
+
+    def strength(groups, parent):
+        inside = sum((p[i] - mean(g)) ** 2 for g in groups for i in g)
+        within = inside / sum(len(g) - 1 for g in groups)
+        away = sum(len(g) * (mean(g) - mean(parent(g))) ** 2 for g in groups)
+        free = sum(1 - len(g) / len(parent(g)) for g in groups)
+        weight = sum(len(g) * (1 - len(g) / len(parent(g))) for g in groups)
+        between = (away - free * within) / weight
+        return min(1e6, within / between) if between > 0 else 1e6
+
+    k_host, k_path = strength(hosts.values(), lambda g: list(p)), strength(paths.values(), lambda g: hosts[host_of(g[0])])
+    mu = mean(list(p))
+    for r in got.itertuples():
+        i = r.doc_id
+        rest, near = [j for j in hosts[host_of(i)] if j != i], [j for j in paths[host_of(i), i % 3] if j != i]
+        prior = (sum(p[j] for j in rest) + k_host * mu) / (len(rest) + k_host)
+        path = (sum(p[j] for j in near) + k_path * prior) / (len(near) + k_path)
+        z = np.log(p[i] / (1 - p[i])) + np.log(max(path, 1e-6) / max(1 - path, 1e-6)) - np.log(mu / (1 - mu))
+        assert np.allclose([r.host_prior, r.path_prior, r.score], [prior, path, 1 / (1 + np.exp(-z))], atol=1e-6), r
+
+
+def test_token_counts_equal_a_loop_over_tokens(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    encoding = token_counts._encoder(None)[0]
+    got = {}
+    for r in token_counts.count_tokens(docs).orderBy("doc_id", "section").collect():
+        got.setdefault(r["doc_id"], []).append(r["n_tokens"])
+    for i, t in text.items():
+        line, counts = 0, [0] * max(1, t.count("\n") + (not t.endswith("\n")))
+        for token in encoding.encode_ordinary(t):
+            counts[line] += 1  # the line of the token's first byte
+            raw = encoding.decode_single_token_bytes(token)
+            line += raw.count(b"\n")
+        assert got[i] == counts, i
+
+
+def test_stages_keep_what_brute_force_keeps(spark, labels, empty, tmp_path):
+    word = lambda g, i: f"g{g}w{i}"
+    base = [[word(g, i) for i in range(80)] for g in range(4)]
+    near = [" ".join(base[0]), " ".join(base[0][:-1] + ["end"]), " ".join(["start"] + base[0][1:]), " ".join(base[1]),
+            " ".join(base[1][:20] + ["x"] + base[1][21:40] + ["y"] + base[1][41:60] + ["z"] + base[1][61:]), " ".join(base[2]),
+            " ".join(base[2]).upper(), "", None, "a b", "a b"]
+    sets = []
+    for t in near:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    kept = [i for i, s in enumerate(sets)  # the first of each group; here every link is one to the first
+            if not any(s and len(s & o) >= 0.8 * len(s | o) for o in sets[:i])]
+    assert kept == [0, 3, 4, 5, 7, 8, 9]
+    out = corpus_pipeline.drop_near_copies(spark, _docs(spark, near), SMALL)
+    assert sorted(r["doc_id"] for r in out.collect()) == kept
+
+    item = " ".join(base[3][:30])
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [item, "pad " * 200 + " ".join(base[3][3:16]), "pad " * 300 + " ".join(base[3][3:16]), " ".join(base[3][3:15]), None,
+             " ".join(base[3][3:16]).upper() + "."]
+    windows = [base[3][i:i + 13] for i in range(18)]
+    kept = []
+    for i, t in enumerate(texts):
+        w = re.findall("[0-9a-z]+", (t or "").lower())
+        hit = {j + k for j in range(len(w)) for k in range(13) if w[j:j + 13] in windows}
+        if not hit or 20 * len(hit) < len(w):
+            kept.append(i)
+    out = corpus_pipeline.drop_contaminated(spark, _docs(spark, texts), str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == kept == [2, 3, 4]
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    bad = {r["doc_id"] for r in toxicity.score(docs, labels).where("predicted = 1").collect()}
+    out = [r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, SMALL).collect()]
+    assert bad and sorted(out) == sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] not in bad)
+
+    now = empty
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, SMALL)
+        assert now.count() == 0
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     now = docs
