@@ -229,13 +229,13 @@ slots AS (
          CASE WHEN w.r >= blocks THEN q - n ELSE least(q, n) END AS stop, coalesce(h.id, slots + w.r) AS position
   FROM (SELECT *, unnest(range(need)) AS r FROM parts) w CROSS JOIN k
   LEFT JOIN hits h ON w.source IS NOT DISTINCT FROM h.source AND w.r = h.r),
-at AS (
+places AS (
   SELECT p.id, min(position) FILTER (lap = 0) AS first_position, min(position) FILTER (lap = 1) AS second_position
   FROM p JOIN slots ON p.source IS NOT DISTINCT FROM slots.source AND no * 1024 < least(b + size, stop)
                    AND (no + 1) * 1024 > b AND b < stop AND size > 0
   GROUP BY p.id)
 SELECT doc_id, size, n AS source_size, target,
        (greatest(0, least(size, least(q, n) - b)) + greatest(0, least(size, q - n - b)))::BIGINT AS taken,
-       at.first_position, at.second_position
-FROM p LEFT JOIN at USING (id)
+       places.first_position, places.second_position
+FROM p LEFT JOIN places USING (id)
 """
