@@ -182,3 +182,18 @@ def test_consecutive_pairs_hot_group_matches_lag(spark):
              .filter(F.col("p").isNotNull()).select(F.col("p").alias("doc1"), F.col("k").alias("doc2"), "g"))
     assert got.count() == brute.count() == 5000 - rows.select("g").distinct().count()
     assert got.exceptAll(brute).count() == 0 and brute.exceptAll(got).count() == 0
+
+
+def test_consecutive_documents_equal_the_pair_join(spark, docs):
+    """Owners with one and many documents, a hot one over many buckets, none: the same rows as two joins on the pair table."""
+    many = docs([SAMPLE, _with(appraised_value="$490,000", city=(None, "missing")), _with(year_built="1990")])
+    ids = spark.range(0, 60).select((F.col("id") * 7 + 3).alias("new"), (F.col("id") % 3 + 1).alias("doc_id"),
+                                    F.when(F.col("id") % 10 < 6, F.lit(0)).when(F.col("id") % 10 < 9, F.col("id")).alias("ck"))
+    many = many.join(ids, "doc_id").select("ck", F.col("new").alias("doc_id"), F.concat("file_name", F.col("new")).alias("file_name"), "fields")
+    pairs = X.consecutive_pairs(many.where("ck IS NOT NULL"), "ck", "doc_id", bucket_width=64)
+    pairs = pairs.select(F.col("doc2").alias("pair_id"), "doc1", "doc2")
+    both = X.consecutive_documents(many, "ck", bucket_width=64)
+    for fn in (X.compare_summary, X.compare_long, X.compare_digest):
+        a, b = fn(pairs, many), fn(both)
+        assert a.columns == b.columns and a.count() == b.count() > 30
+        assert a.exceptAll(b).count() == 0

@@ -177,8 +177,9 @@ def appraisal_field_columns() -> dict[str, Column]:
     return cols
 
 
-def appraisals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def appraisals(spark: SparkSession, sf_dir: str, owner: bool = False) -> DataFrame:
     """(doc_id, file_name, fields): one derived appraisal per three lines of an order; an order without lines has one.
+    With owner, its customer ck comes first.
 
     Part n has doc_id ``n * PART_STEP + o_orderkey``; parts after the first have their number in the file name.
     """
@@ -186,7 +187,7 @@ def appraisals(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.struct(*[(cols.get(n) if n in cols else missing_field()).alias(n) for n in APPRAISAL_FIELDS])
     part = F.when(F.col("part") > 0, F.concat(F.lit("_"), F.col("part").cast("string"))).otherwise("")
     return _order_base(spark, sf_dir).select(
-        (F.col("part") * PART_STEP + F.col("k")).alias("doc_id"),
+        *(["ck"] if owner else []), (F.col("part") * PART_STEP + F.col("k")).alias("doc_id"),
         F.concat(F.lit("appraisal_"), F.col("k").cast("string"), part, F.lit(".pdf")).alias("file_name"),
         fields.alias("fields"))
 
