@@ -41,7 +41,7 @@ FAMILY = ["flat_appraisal", "field_view", "parse_currency", "post_validate", "po
           "calibration_flags", "field_reliabilities", "analyze_comps", "gla_adjustments", "compare_summary",
           "compare_digest", "assemble_documents", "choose_strategy_fallback", "build_appraisal_request",
           "decode_appraisal_repair", "decode_loan", "extract_labelled", "batch_pipeline", "batch_summary",
-          "write_batch_csv", "field_catalogue", "response_pipeline", "loan_pipeline"]
+          "write_batch_csv", "field_catalogue", "response_pipeline", "loan_pipeline", "streamed_reports"]
 OWN = [n for n in ORACLE if not n.startswith("op") and n != "pipeline"]
 PARITY = sorted(OWN) if os.environ.get("VALUELENS_FULL_PARITY") else FAMILY
 
@@ -104,6 +104,23 @@ def test_redelivered_document_is_taken_once(spark, tmp_path):
     assert dict(got[1:2]) == {2: "error"}  # the first delivery stays
 
 
+def test_streamed_reports_equal_the_batch_path(spark, tmp_path):
+    """Report rows that a stream stores in two runs are those of the batch; a redelivery adds none."""
+    from valuelens.operators import batch as B
+    from valuelens.sources import responses as RS
+    from valuelens.streaming import intake as ST
+    landing, sink, ckpt = (str(tmp_path / d) for d in ("landing", "sink", "checkpoint"))
+    named = RS.appraisal_responses(spark, SMALL).selectExpr("doc_id", "concat('d', doc_id) AS file_name", "json")
+    named = named.where("doc_id < 120")
+    for part in ("doc_id % 3 = 0", "true"):
+        ST.land(named.where(part).coalesce(1), landing)
+        ST.report_stream(spark, landing, sink, ckpt, max_files_per_trigger=1)
+    got, want = ST.read_sink(spark, sink, ST.REPORT_SCHEMA), ST.report_rows(named)
+    assert got.columns == want.columns
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and {r[3] for r in rows} == {"success", "error"}
+
+
 def test_confidence_counts_cover_every_field(spark):
     """On the derived records every field has exactly one of the four levels."""
     from pyspark.sql import functions as F

@@ -113,3 +113,14 @@ def test_report_keeps_its_lists_through_json(spark, tmp_path):
                        ("warnings", 2)):
         flat = B.report_entries(B.read_reports_json(spark, str(tmp_path / "r"), B.reports(done).schema), name)
         assert flat.filter("doc_id = 1").count() == rows and flat.filter("doc_id = 2").count() == 0
+
+
+def test_processing_time_is_the_sum_over_pages_and_strategies(spark):
+    rows = [(1, "pdfplumber", 0, 1, None, "bad", 1200), (1, "pymupdf", 1, 1, "x" * 60, None, 34), (1, "pymupdf", 1, 2, "y", None, 1000),
+            (2, "pdfplumber", 0, 1, "z" * 60, None, None), (3, "pdfplumber", 0, 1, None, "bad", 1)]
+    pages = spark.createDataFrame([(d, f"{d}.pdf", s, p, n, t, None, e, ms) for d, s, p, n, t, e, ms in rows], PAGES + ", elapsed_ms long")
+    done = B.process_pages(pages)
+    got = {r["doc_id"]: r["processing_time_s"] for r in B.report_rows(done).collect()}
+    assert got == {1: "2.234", 2: "0.0", 3: "0.001"}
+    assert B.batch_summary(done).first()["avg_processing_time_s"] == 0.745
+    assert {r["processing_time_s"] for r in B.report_rows(B.process_pages(pages.drop("elapsed_ms"))).collect()} == {"0.0"}

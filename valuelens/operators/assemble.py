@@ -73,7 +73,9 @@ def _choice(candidates: DataFrame, policy: str, preferred: str | None, min_chars
     short_msg = F.concat(_strategy_label(F.col("strategy")), F.lit(" returned only "),
                          F.col("total_chars").cast("string"), F.lit(" chars — trying next strategy"))
     pick = F.struct("_p", "strategy", "total_chars", "page_count")
+    timed = "elapsed_ms" in candidates.columns
     agg = candidates.withColumn("_p", place).groupBy("doc_id").agg(
+        *([F.sum("elapsed_ms").alias("elapsed_ms")] if timed else []),
         F.min("file_name").alias("file_name"),
         F.min(F.when(~failed, pick)).alias("_first_ok"),
         F.min(F.when(~failed & (~short), pick)).alias("_first_long"),
@@ -100,7 +102,7 @@ def _choice(candidates: DataFrame, policy: str, preferred: str | None, min_chars
         chosen.getField("strategy").alias("strategy_used"),
         chosen.getField("total_chars").alias("total_chars"),
         chosen.getField("page_count").alias("page_count"),
-        error.alias("error"))
+        error.alias("error"), *(["elapsed_ms"] if timed else []))
 
 
 def choose_strategy(candidates: DataFrame, policy: str = "strict", preferred: str | None = None,
@@ -120,15 +122,19 @@ def choose_strategy(candidates: DataFrame, policy: str = "strict", preferred: st
 
 def choose_and_assemble(pages: DataFrame, policy: str = "strict", preferred: str | None = None,
                         min_chars: int = MIN_CHARS, strategies: tuple[str, ...] = tuple(STRATEGIES)) -> DataFrame:
-    """choose_strategy over pages: the choice reads lengths only, then the winner's text is assembled once."""
+    """choose_strategy over pages: the choice reads lengths only, then the winner's text is assembled once.
+
+    Pages may carry elapsed_ms, the time that reading each took; a document's is the sum over all strategies tried."""
+    timed = ["elapsed_ms"] if "elapsed_ms" in pages.columns else []
     lengths = pages.groupBy("doc_id", "file_name", "strategy").agg(
+        *[F.sum(c).alias(c) for c in timed],
         F.sum(F.length(F.coalesce("raw_text", F.lit("")))).alias("total_chars"),
         F.count(F.lit(1)).alias("page_count"), F.max("error").alias("error"))
     choice = _choice(lengths, policy, preferred, min_chars, strategies)
     won = choice.where("status = 'ok'").select("doc_id", F.col("strategy_used").alias("strategy"))
     text = assemble_documents(pages.join(won, ["doc_id", "strategy"], "left_semi")).select("doc_id", "full_text")
     return choice.join(text, "doc_id", "left").select(
-        "doc_id", "file_name", "status", "strategy_used", "total_chars", "page_count", "full_text", "error")
+        "doc_id", "file_name", "status", "strategy_used", "total_chars", "page_count", "full_text", "error", *timed)
 
 
 def truncate_text(text: Column, max_chars: int = MAX_CHARS) -> Column:

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import py_bool_str, py_round4_str, round_half_up
+from ..functions.scalar import py_bool_str, py_float_str, py_round4_str, round_half_up
 from ..schema import CSV_FIELDS, CSV_HEADERS, LOAN_FIELDS
 from ..session import ensure_checkpoint_dir
 from . import assemble as D
@@ -41,6 +41,11 @@ def analysed(docs: DataFrame) -> DataFrame:
     return C.with_comp_analysis(K.with_calibration(V.post_validate(docs)))
 
 
+def _seconds(df: DataFrame) -> Column:
+    """A document's processing time, where its source recorded one."""
+    return F.coalesce(F.col("processing_time_s"), F.lit(0.0)) if "processing_time_s" in df.columns else F.lit(0.0)
+
+
 def report_rows(df: DataFrame) -> DataFrame:
     """The flat CSV row (all text, as a CSV writer renders it); failed documents are blank."""
     ok = F.col("status") == STATUS_OK
@@ -49,7 +54,7 @@ def report_rows(df: DataFrame) -> DataFrame:
         return F.when(ok, c).otherwise(F.lit(""))
 
     cols = [F.col("file_name").alias("file_name"),
-            F.lit("0.0").alias("processing_time_s"),  # wall-clock per document is not measured
+            py_float_str(round_half_up(_seconds(df), 3)).alias("processing_time_s"),
             F.col("status"),
             F.coalesce(F.col("error"), F.lit("")).alias("error")]
     for f in CSV_FIELDS:
@@ -82,13 +87,14 @@ def batch_rows(docs: DataFrame) -> DataFrame:
 
 def process_pages(pages: DataFrame) -> DataFrame:
     """End-to-end: pages -> document text -> strategy -> labelled extraction -> validate ->
-    calibrate -> comps, with status/error per document."""
+    calibrate -> comps, with status/error per document.  Where pages carry elapsed_ms, their sum is processing_time_s."""
     chosen = D.choose_and_assemble(pages, "strict")
     staged = chosen.select(
         "doc_id", "file_name", F.col("full_text").alias("text"),
         F.when(F.col("status") == "ok", F.lit(STATUS_OK)).otherwise(F.lit(STATUS_ERROR)).alias("status"),
-        F.when(F.col("error").isNotNull(), F.concat(F.lit(PDF_FAILED), F.col("error"))).alias("error"))
-    return analysed(E.extract_labelled(staged, keep=("status", "error")))
+        F.when(F.col("error").isNotNull(), F.concat(F.lit(PDF_FAILED), F.col("error"))).alias("error"),
+        (F.col("elapsed_ms") / 1000.0 if "elapsed_ms" in chosen.columns else F.lit(0.0)).alias("processing_time_s"))
+    return analysed(E.extract_labelled(staged, keep=("status", "error", "processing_time_s")))
 
 
 def _decoded(responses: DataFrame, **names) -> DataFrame:
@@ -135,8 +141,8 @@ def batch_summary(processed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.count(F.when(ok, 1)).alias("successes"),
         F.count(F.when(~ok, 1)).alias("failures"),
-        F.coalesce(F.avg(F.lit(0.0)), F.lit(0.0)).alias("avg_processing_time_s"),
         # rounded: the mean of unordered doubles is only stable to a few ulps
+        F.coalesce(round_half_up(F.avg(_seconds(processed)), 6), F.lit(0.0)).alias("avg_processing_time_s"),
         round_half_up(F.avg(F.when(ok, F.coalesce(F.col("_score"), F.lit(0.0)))), 6).alias("avg_reliability_score"))
 
 

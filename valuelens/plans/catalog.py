@@ -232,39 +232,40 @@ def q_analyze_comps(spark, sf):
 from ..operators import compare as X  # noqa: E402
 
 
-def _pairs_docs(spark, sf):
-    return X.order_pairs(spark, sf), _validated(spark, sf)
+def _pairs(spark, sf):
+    """Consecutive documents of one customer, both records in one row."""
+    return X.consecutive_documents(V.post_validate(derive.appraisals(spark, sf, owner=True)), "ck")
 
 
 @query("compare_fields")
 def q_compare_fields(spark, sf):
-    return X.compare_long(*_pairs_docs(spark, sf)).drop("presence")
+    return X.compare_long(_pairs(spark, sf)).drop("presence")
 
 
 @query("compare_presence")
 def q_compare_presence(spark, sf):
-    return X.compare_long(*_pairs_docs(spark, sf)).select("pair_id", "ord", "field_name", "presence")
+    return X.compare_long(_pairs(spark, sf)).select("pair_id", "ord", "field_name", "presence")
 
 
 @query("compare_numeric_diff")
 def q_compare_numeric_diff(spark, sf):
-    return (X.compare_long(*_pairs_docs(spark, sf)).filter(F.col("difference_note").isNotNull())
+    return (X.compare_long(_pairs(spark, sf)).filter(F.col("difference_note").isNotNull())
             .select("pair_id", "field_name", "difference_note"))
 
 
 @query("compare_summary")
 def q_compare_summary(spark, sf):
-    return X.compare_summary(*_pairs_docs(spark, sf))
+    return X.compare_summary(_pairs(spark, sf))
 
 
 @query("compare_discrepancies")
 def q_compare_discrepancies(spark, sf):
-    return X.compare_discrepancies(*_pairs_docs(spark, sf))
+    return X.compare_discrepancies(_pairs(spark, sf))
 
 
 @query("compare_digest")
 def q_compare_digest(spark, sf):
-    return X.compare_digest(*_pairs_docs(spark, sf))
+    return X.compare_digest(_pairs(spark, sf))
 
 
 # ---------------------------------------------------------------- document assembly
@@ -493,3 +494,8 @@ from ..streaming import intake as ST  # noqa: E402
 @query("incremental_intake")
 def q_incremental_intake(spark, sf):
     return ST.incremental_intake(spark, RS.appraisal_responses(spark, sf), B.output_dir(spark, "intake"))
+
+
+@query("streamed_reports")
+def q_streamed_reports(spark, sf):
+    return ST.streamed_reports(spark, _named(RS.appraisal_responses(spark, sf), "appraisal"), B.output_dir(spark, "report-stream"))

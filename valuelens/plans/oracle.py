@@ -781,27 +781,27 @@ def _render_page(head: str, names: list[str], labels) -> str:
 
 
 RENDER_CTE = f"""rpages AS (
-  SELECT doc_id, file_name, 1 AS page_number,
-    CASE WHEN doc_id % 97 = 0 THEN NULL ELSE
-      {_render_page('UNIFORM RESIDENTIAL APPRAISAL REPORT', _SUBJECT, APPRAISAL_LABELS.get)} END AS raw_text,
+  SELECT doc_id, file_name, page_number, doc_id % 250 + 40 * page_number + len(page) AS elapsed_ms,
+    CASE WHEN doc_id % 97 <> 0 THEN page END AS raw_text,
     CASE WHEN doc_id % 97 = 0 THEN 'pdfplumber: unreadable content stream' END AS error
-  FROM src_appr
-  UNION ALL
-  SELECT doc_id, file_name, 2,
-    CASE WHEN doc_id % 97 = 0 THEN NULL ELSE
-      {_render_page('SALES COMPARISON APPROACH', _COMPF, APPRAISAL_LABELS.get)} END,
-    CASE WHEN doc_id % 97 = 0 THEN 'pdfplumber: unreadable content stream' END
-  FROM src_appr),
+  FROM (
+    SELECT doc_id, file_name, 1 AS page_number,
+      {_render_page('UNIFORM RESIDENTIAL APPRAISAL REPORT', _SUBJECT, APPRAISAL_LABELS.get)} AS page
+    FROM src_appr
+    UNION ALL
+    SELECT doc_id, file_name, 2,
+      {_render_page('SALES COMPARISON APPROACH', _COMPF, APPRAISAL_LABELS.get)}
+    FROM src_appr)),
 rdocs AS (
   SELECT doc_id, file_name,
     string_agg(coalesce(raw_text, ''), chr(10) || chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10)
-               ORDER BY page_number) AS full_text, max(error) AS error
+               ORDER BY page_number) AS full_text, max(error) AS error, sum(elapsed_ms)::BIGINT AS elapsed_ms
   FROM rpages GROUP BY doc_id, file_name),
 xdocs AS (
   SELECT doc_id, file_name, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status,
     CASE WHEN error IS NOT NULL THEN 'PDF extraction failed: All PDF extraction strategies failed. Last error: '
       || error END AS error,
-    CASE WHEN error IS NULL THEN full_text END AS text
+    CASE WHEN error IS NULL THEN full_text END AS text, elapsed_ms / 1000.0::DOUBLE AS seconds
   FROM rdocs)"""
 
 
@@ -858,7 +858,8 @@ def _row_sql(status_src: str | None) -> str:
     def blank(x):
         return f"CASE WHEN {ok} THEN {x} ELSE '' END"
 
-    cols = ["file_name", "'0.0' AS processing_time_s", "status", "coalesce(error, '') AS error"]
+    timed = Q.pyfloat("seconds") if status_src == "xdocs" else "'0.0'"
+    cols = ["file_name", f"{timed} AS processing_time_s", "status", "coalesce(error, '') AS error"]
     for f in CSV_FIELDS:
         cols.append(f"{blank(f'coalesce({f}, {chr(39)}{chr(39)})')} AS {f}")
         cols.append(f"{blank(f + '__c')} AS {f}_confidence")
@@ -876,7 +877,8 @@ def _row_sql(status_src: str | None) -> str:
     if status_src is None:
         src = "(SELECT *, 'success' AS status, CAST(NULL AS VARCHAR) AS error FROM rep)"
     else:
-        src = f"(SELECT rep.*, x.status, x.error FROM rep JOIN {status_src} x ON rep.doc_id = x.doc_id)"
+        seconds = ", x.seconds" if status_src == "xdocs" else ""
+        src = f"(SELECT rep.*, x.status, x.error{seconds} FROM rep JOIN {status_src} x ON rep.doc_id = x.doc_id)"
     return "SELECT doc_id, " + ", ".join(cols) + f" FROM {src}"
 
 
@@ -919,12 +921,12 @@ ORACLE["loan_pipeline"] = W(
     f"\nSELECT v.doc_id, v.file_name, x.status, coalesce(x.error, '') AS error, {_LOAN_COLS}, {_LOAN_COUNTS} "
     f"FROM lval v JOIN loan_docs x ON v.doc_id = x.doc_id "
     f"JOIN (SELECT doc_id, {_counts(LOAN_FIELDS)} FROM lval) c ON v.doc_id = c.doc_id")
-_PROC = "(SELECT rep.*, x.status, x.error FROM rep JOIN xdocs x ON rep.doc_id = x.doc_id)"
+_PROC = "(SELECT rep.*, x.status, x.error, x.seconds FROM rep JOIN xdocs x ON rep.doc_id = x.doc_id)"
 ORACLE["batch_status"] = _PIPE + f"\nSELECT doc_id, file_name, status, coalesce(error, '') AS error FROM {_PROC}"
 ORACLE["batch_failures"] = _PIPE + f"\nSELECT doc_id, file_name, error FROM {_PROC} WHERE status = 'error'"
 ORACLE["batch_summary"] = _PIPE + (
     f"\nSELECT count(*) AS total, count(CASE WHEN status = 'success' THEN 1 END) AS successes, "
-    f"count(CASE WHEN status <> 'success' THEN 1 END) AS failures, coalesce(avg(0.0::DOUBLE), 0.0::DOUBLE) "
+    f"count(CASE WHEN status <> 'success' THEN 1 END) AS failures, coalesce({Q.rnd("avg(seconds)", 6)}, 0.0::DOUBLE) "
     f"AS avg_processing_time_s, {Q.rnd("avg(CASE WHEN status = 'success' THEN coalesce(score, 0.0::DOUBLE) END)", 6)} "
     f"AS avg_reliability_score FROM {_PROC}")
 ORACLE["write_reports_json"] = _PIPE + (
@@ -958,3 +960,4 @@ ORACLE["field_catalogue"] = W(APPR_CTE, VAL_CTE) + (
 
 # ------------------------------------------------------------------ streaming intake (final table)
 ORACLE["incremental_intake"] = ORACLE["decode_appraisal_repair"]
+ORACLE["streamed_reports"] = ORACLE["response_pipeline"]

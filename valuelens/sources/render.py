@@ -25,7 +25,7 @@ def _line(label: str, value) -> F.Column:
 
 
 def appraisal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, file_name, strategy, priority, page_number, raw_text, tables, error): two pages per document."""
+    """(doc_id, file_name, strategy, priority, page_number, raw_text, tables, error, elapsed_ms): two pages per document."""
     docs = derive.appraisals(spark, sf_dir)
     v = lambda n: F.col("fields").getField(n).getField("value")
     subject = [n for n in APPRAISAL_FIELDS if not n.startswith("comp_")]
@@ -39,7 +39,8 @@ def appraisal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "file_name", F.lit(STRATEGIES[0]).alias("strategy"), F.lit(0).alias("priority"),
         "page_number", F.when(~failed, F.col("raw_text")).alias("raw_text"),
         F.lit(None).cast("array<array<array<string>>>").alias("tables"),
-        F.when(failed, F.lit(FAILED_PAGE_ERROR)).alias("error"))
+        F.when(failed, F.lit(FAILED_PAGE_ERROR)).alias("error"),
+        (F.col("doc_id") % 250 + 40 * F.col("page_number") + F.length("raw_text")).cast("bigint").alias("elapsed_ms"))
 
 
 def loan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
