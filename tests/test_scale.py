@@ -59,3 +59,14 @@ def test_redelivered_responses_are_decoded_before_the_exchange(spark):
     once = ST.once_per_document(rows, lambda r: ST.decoded_counts(r, "_key"))
     assert once.columns == ["doc_id", "status", "error", "high", "medium", "low", "missing"]
     assert sorted((r["doc_id"] or 0, r["status"]) for r in once.collect()) == [(0, "error"), (0, "ok"), (1, "ok")]
+
+
+def test_plain_numbers_are_told_before_separators_are_taken_out(spark):
+    texts = ["$485,000", "1,2.50", "7", "12 ", " 3", "1\n", "1\x85", "$$1", "1%", "5,%", "-4", "+.5", "2.", "1e3", "1e309", "9" * 61, "9" * 62,
+             "9" * 400, "1" * 61 + "." + "2" * 61, "١", "2,150 sq ft", "N/A", "nan", "1d", "0x1p3", "$", ",", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    slow = {S.parse_currency: S.without_chars("v", ",$" + S.WHITE), S.parse_float: S.without_chars("v", "," + S.WHITE),
+            S.parse_rule_number: S.strip_ends(S.without_chars("v", ",$")), S.parse_loan_rule_number: S.strip_ends(S.without_chars("v", ",$%"))}
+    for parse, clean in slow.items():
+        assert df.where(~parse("v").eqNullSafe(S.to_double(clean))).collect() == []
+        assert re.search(r"CASE WHEN RLIKE\(v#\d+, \^", _plan(df.select(parse("v"))).replace("cast(", ""))
