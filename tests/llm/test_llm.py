@@ -513,3 +513,14 @@ def test_pipeline(spark):
         assert now.columns == docs.columns, name
     last = corpus_pipeline.STAGES[-1][1](spark, now, SMALL)
     assert 0 < last.select("doc_id").distinct().count() <= docs.count() and "shard" in last.columns
+
+
+def test_chat_format_query_reads_whole_examples_back(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, "user", "a<b"), (1, 1, "assistant", "[x]"), (1, 2, "user", "c"), (1, 3, "assistant", None), (2, 0, "user", "only")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    made, whole = [], chat_format.examples
+    monkeypatch.setattr(chat_format, "examples", lambda r: made.append(whole(r)) or made[-1])
+    got = {r["conv_id"]: r for r in chat_format.query(spark, str(tmp_path)).collect()}
+    texts = made[0].groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    assert {r["conv_id"]: (r["n"], r["chars"]) for r in texts} == {c: (n, got[c]["formatted_chars"]) for c, n in ((1, 2), (2, 1), (-7, 1))}
+    assert (got[1]["n_turns"], got[1]["loss_chars"]) == (4, 3)
