@@ -12,6 +12,8 @@ from valuelens.functions import scalar as S
 from valuelens.operators import batch as B
 from valuelens.operators import calibrate as K
 from valuelens.operators import compare as X
+from valuelens.operators import decode as J
+from valuelens.operators import extract as E
 from valuelens.operators import records as R
 from valuelens.operators import validate as V
 from valuelens.streaming import intake as ST
@@ -70,3 +72,24 @@ def test_plain_numbers_are_told_before_separators_are_taken_out(spark):
     for parse, clean in slow.items():
         assert df.where(~parse("v").eqNullSafe(S.to_double(clean))).collect() == []
         assert re.search(r"CASE WHEN RLIKE\(v#\d+, \^", _plan(df.select(parse("v"))).replace("cast(", ""))
+
+
+def test_label_searches_begin_with_the_label(spark):
+    assert all(p.startswith("(?m)City:(?<=^") for p in (E.label_pattern("City"), E.rest_pattern("City")))
+    texts = ["City: a", "x City: a", "x\nCity:  a b \t\nCity: c", "x\rCity: a", "x\r\nCity: a\r\n", "x\x85City: a", "City:\nCity: b", "City:  ", "city: a", ""]
+    df = spark.createDataFrame([(i, "f", t) for i, t in enumerate(texts)], "doc_id long, file_name string, text string")
+    got = {r[0]: r[1:] for r in E.extract_labelled(df).select("doc_id", "fields.city.value", "fields.city.source_snippet").collect()}
+    none = (None, None)
+    assert [got[i] for i in range(len(texts))] == [("a", "City: a"), none, ("a b", "City:  a b"), ("a", "City: a"), ("a", "City: a"),
+                                                   ("a", "City: a"), none, none, none, none]
+
+
+def test_strict_decode_reads_each_type_once_and_none_of_the_root(spark):
+    roots = {"{}": None, "[1]": J.ERR_NOT_OBJECT, "null": J.ERR_NOT_OBJECT, "1": J.ERR_NOT_OBJECT, '"{}"': J.ERR_NOT_OBJECT, "{": J.ERR_NOT_JSON,
+             '{"city":1}': None, '{"city":{}}': None, '{"city":{"value":null,"source_snippet":null}}': None,
+             **{f'{{"city":{{"{m}":{v}}}}}': J.ERR_FIELD + "city" for m, v in (("value", 1), ("confidence", "null"), ("confidence", '"sure"'),
+                                                                               ("reasoning", "null"), ("source_snippet", "[]"))}}
+    df = spark.createDataFrame(list(enumerate(roots)), "doc_id long, json string")
+    out = J.decode_repair(df, ["city", "state"])
+    assert [r["error"] for r in out.orderBy("doc_id").collect()] == [*roots.values()]
+    assert len(re.findall(r"schema_?of_?variant\(", out._jdf.queryExecution().analyzed().toString(), re.I)) == 8
