@@ -39,3 +39,24 @@ def test_hot_orders_rank_as_others(spark, monkeypatch):
     got = derive.order_comps(lines).collect()
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert sum(r["n_lines"] for r in got) == len(rows)
+
+
+def test_documents_of_hot_orders_are_those_of_the_other_path(spark, monkeypatch):
+    """Every order of more than three lines as a hot one; hot orders are told exactly, also when their bucket has others."""
+    want = derive.appraisals(spark, SMALL, owner=True)
+    rows = sorted(map(str, want.collect()))
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    monkeypatch.setattr(derive, "HOT_ORDER", 3)
+    monkeypatch.setattr(derive, "HOT_BUCKETS", 64)
+    many = {r[0] for r in lines.groupBy("l_orderkey").count().filter("count > 3").collect()}
+    assert many and {r[0] for r in derive.hot_orders(lines).collect()} == many
+    assert sorted(map(str, derive.appraisals(spark, SMALL, owner=True).collect())) == rows
+
+
+def test_lines_of_an_order_stay_where_they_were_ranked(spark):
+    """No exchange above the ranking and the join, other than that of hot orders by part."""
+    plan = derive.appraisals(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("RepartitionByExpression [o_orderkey")
+    assert plan.count("RepartitionByExpression [k#") == 1 and "Join LeftOuter" in plan
+    few = plan[plan.index("Join LeftOuter"):plan.index("RepartitionByExpression [l_orderkey")]
+    assert "Window" in few and "Aggregate" not in few.split("Window")[0].split("Relation")[-1]
