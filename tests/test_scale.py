@@ -93,3 +93,31 @@ def test_strict_decode_reads_each_type_once_and_none_of_the_root(spark):
     out = J.decode_repair(df, ["city", "state"])
     assert [r["error"] for r in out.orderBy("doc_id").collect()] == [*roots.values()]
     assert len(re.findall(r"schema_?of_?variant\(", out._jdf.queryExecution().analyzed().toString(), re.I)) == 8
+
+
+def test_records_are_not_made_for_readers_of_members(spark):
+    """Long entries read columns, not a record that each step makes anew."""
+    from conftest import SMALL
+    from valuelens.plans.catalog import REGISTRY
+    for name in ("field_view", "post_validate", "post_validate_loan", "decode_appraisal", "adjusted_range", "comp_warnings"):
+        assert not re.search(r"fields#\d+\.", _plan(REGISTRY[name](spark, SMALL))), name
+
+
+def test_null_records_and_fields_stay_null(spark):
+    member = "struct<value:string,confidence:string,reasoning:string,source_snippet:string>"
+    names = ("appraised_value", "year_built", "gross_living_area_sqft", "number_of_bedrooms", "city")
+    rows = [(1, None), (2, (None, ("1500", "high", None, "s"), ("2,000", "low", "r", None), None, ("", "high", "", None)))]
+    df = spark.createDataFrame(rows, f"doc_id long, fields struct<{','.join(f'{n}:{member}' for n in names)}>")
+    got = {r["doc_id"]: r["fields"] for r in V.post_validate(df).collect()}
+    assert got[1] is None and got[2]["appraised_value"] is None and got[2]["number_of_bedrooms"] is None
+    assert tuple(got[2]["year_built"]) == ("1500", "medium", " [VALIDATION WARNING: year_built 1500.0 is out of plausible range]", "s")
+    assert tuple(got[2]["gross_living_area_sqft"]) == ("2,000", "low", "r", None) and got[2]["city"]["value"] == ""
+
+
+def test_warnings_are_listed_without_text(docs):
+    from valuelens.operators import comps as C
+    d = docs([SAMPLE, {}, {**SAMPLE, "appraised_value": "$900,000"}])
+    text = {r["doc_id"]: r["warnings"].split("\n") if r["warnings"] else [] for r in C.analyze_comps(d).collect()}
+    rows = C.comp_warnings(d)
+    assert sorted(map(tuple, rows.collect())) == sorted((k, i, w) for k, ws in text.items() for i, w in enumerate(ws))
+    assert text[1] == [] and len(text[3]) == 2 and "split(" not in _plan(rows)
